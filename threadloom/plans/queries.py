@@ -1,0 +1,31 @@
+"""Every query over the driver's tables, with the same query in SQL for DuckDB."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+@query("SELECT conv_id AS session_id, count(*) AS total_raw_lines, count(*) FILTER (role = 'user') AS user_messages, count(*) FILTER (role = 'assistant') AS assistant_messages FROM conversations GROUP BY conv_id")
+def q01_session_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return turns.groupBy(F.col("conv_id").alias("session_id")).agg(
+        F.count(F.lit(1)).alias("total_raw_lines"),
+        F.count_if(F.col("role") == "user").alias("user_messages"),
+        F.count_if(F.col("role") == "assistant").alias("assistant_messages"),
+    )
