@@ -6,7 +6,8 @@ from threadloom.llm import mixing
 from threadloom.llm.mixing import op3_mixing
 from threadloom.llm.packing import op4_packing
 from threadloom.llm.sharding import op1_sharding
+from threadloom.llm.simhash import op7_simhash
 from threadloom.llm.token_counts import op2_token_counts
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_token_counts, op3_mixing, op4_packing)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_token_counts, op3_mixing, op4_packing, op7_simhash)}
 ORACLES: dict[str, str] = {"op3_mixing": mixing.SQL.format(documents="documents")}
