@@ -58,3 +58,17 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str,
         .withColumn(out, (F.col("_start") + F.col("_row") - 1).cast("long"))
         .drop("_bucket", "_row", "_start")
     )
+
+
+#: A null id in joins; it sorts after all others.
+NO_ID = 2**63 - 1
+
+
+def with_key(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """df with _id (never null) and _hash (of the text): equal for equal rows only, up to hash collisions within an id."""
+    return df.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "_hash": F.xxhash64(F.col(text_col))})
+
+
+def only(df: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """df's rows and columns whose key is in kept (_id, _hash); texts are shuffled once, unsorted."""
+    return with_key(df, id_col, text_col).join(kept.hint("shuffle_hash"), ["_id", "_hash"], "left_semi").select(*df.columns)
