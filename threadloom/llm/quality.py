@@ -23,47 +23,61 @@ from pyspark.sql import types as T
 from threadloom.llm.common import NO_ID, stored, table, with_key
 
 TARGETS = ("quality", "toxic")
-PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+SPACES = {c: " " for c in (9, 10, 11, 12, 13)}
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Lengths of the word beginnings that count as features, for inflected words.
+BEGINNINGS = (4, 5, 6)
 
 
-def features(text: str) -> set[bytes]:
-    """The distinct words of a whole text, in lower case and without outer punctuation, and what it looks like."""
-    words = text.encode().lower().split()
+def features(text: str) -> set[str]:
+    """The distinct words of a whole text, in lower case and without outer punctuation, their beginnings, and what it looks like."""
+    words = text.encode().lower().decode().translate(SPACES).split(" ")
+    words = [w for w in words if w]
     n = len(words)
+    if not n:
+        return {" empty"}
     bare = [w.strip(PUNCTUATION) for w in words]
     found = set(bare)
-    found.discard(b"")
-    if not n:
-        return {b" empty"}
+    found.discard("")
     noisy = sum(len(w) - len(b) >= 3 for w, b in zip(words, bare, strict=True))
-    marks = bare.count(b"")
-    repeated = sum(map(bytes.__eq__, words, words[1:]))
     lines = text.split("\n")
-    for name, share in ((b"noisy", noisy / n), (b"marks", marks / n), (b"repeated", repeated / n), (b"distinct", len(found) / n), (b"line", 1 - len(set(lines)) / len(lines)), (b"digits", sum(map(bytes.isdigit, bare)) / n)):
-        found.add(b" %s %d" % (name, min(9, int(10 * share))))
-    found.add(b" length %d" % n.bit_length())
+    shares = {"noisy": noisy, "marks": bare.count(""), "repeated": sum(map(str.__eq__, words, words[1:])), "distinct": len(found), "digits": sum(map(str.isdigit, bare))}
+    look = [f" {name} {min(9, 10 * k // n)}" for name, k in shares.items()]
+    look += [f" lines {10 * (len(lines) - len(set(lines))) // len(lines)}", f" length {n.bit_length()}"]
+    for k in BEGINNINGS:
+        look += {w[:k] + "~" for w in found if len(w) > k}
+    found.update(look)
     return found
 
 
-def choose(counts: list[tuple[bytes, int, int, int]], n: int, ones: tuple[int, int], most: int = 600) -> list[bytes]:
-    """Features that occur unevenly between a target's classes by 5 standard errors, most of each target at most."""
+def choose(counts: list[tuple[str, int, int, int]], n: int, ones: tuple[int, int], most: int = 600) -> dict[str, tuple[int, int]]:
+    """Features that tell a target's classes apart, most of each target at most, and the sign of each for each target.
+
+    Their rates differ by 5 standard errors, and their odds by a factor of 4: common words
+    that lean a little would only let a small sample be learned by heart.
+    """
     names = [c[0] for c in counts]
-    chosen: set[bytes] = set()
     total = np.array([c[1] for c in counts], float)
+    signs: dict[str, list[int]] = {}
     for t in (0, 1):
         with_one, n1 = np.array([c[2 + t] for c in counts], float), ones[t]
         if not len(counts) or not 0 < n1 < n:
             continue
-        rate = total / n
-        z = (with_one / n1 - (total - with_one) / (n - n1)) / np.sqrt(np.maximum(rate * (1 - rate), 1e-9) * (1 / n1 + 1 / (n - n1)))
-        clear = sorted((-abs(v), f) for v, f in zip(z.tolist(), names, strict=True) if abs(v) >= 5)
-        chosen.update(f for _, f in clear[:most])
-    return sorted(chosen)
+        rate, with_none = total / n, total - with_one
+        z = (with_one / n1 - with_none / (n - n1)) / np.sqrt(np.maximum(rate * (1 - rate), 1e-9) * (1 / n1 + 1 / (n - n1)))
+        lift = np.log((with_one + 0.5) / (n1 - with_one + 0.5)) - np.log((with_none + 0.5) / (n - n1 - with_none + 0.5))
+        clear = (np.abs(z) >= 5) & (np.abs(lift) >= np.log(4)) & (np.sign(z) == np.sign(lift))
+        for _, i in sorted((-abs(z[i]), i) for i in sorted(np.flatnonzero(clear), key=names.__getitem__))[:most]:
+            signs.setdefault(names[i], [0, 0])[t] = int(np.sign(z[i]))
+    return {f: tuple(signs[f]) for f in sorted(signs)}
+
 
+def regress(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, signs: np.ndarray, steps: int = 600, penalty: float = 0.03) -> np.ndarray:
+    """Logistic regression on sparse 0/1 features (the last weight is the intercept), by Adam with a ridge penalty.
 
-def regress(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, width: int, steps: int = 400, penalty: float = 1.0) -> np.ndarray:
-    """Logistic regression on sparse 0/1 features (the last weight is the intercept), by Adam with a ridge penalty."""
-    n = len(y)
+    A weight keeps the sign of its feature's own lift; it is 0 where that is 0.
+    """
+    n, width = len(y), len(signs)
     w, m, v = np.zeros(width + 1), np.zeros(width + 1), np.zeros(width + 1)
     rate = (y.sum() + 0.5) / (n + 1)
     w[width] = np.log(rate / (1 - rate))
@@ -73,17 +87,18 @@ def regress(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, width: int, steps
         grad = np.append(np.bincount(cols, gap[rows], width) + penalty * w[:width], gap.sum()) / n
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         w -= 0.1 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
+        w[:width] = np.where(signs * w[:width] > 0, w[:width], 0)
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> tuple[dict[bytes, tuple[float, float]], tuple[float, float]]:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> tuple[dict[str, tuple[float, float]], tuple[float, float]]:
     """Weights of the chosen features for each target, and the intercepts. docs: _id, text; labels: _id, quality, toxic."""
     known = labels.filter("quality is not null and toxic is not null").dropDuplicates(["_id"])
     some = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)
     drawn = stored(docs.join(F.broadcast(some), "_id").dropDuplicates(["_hash"]).select("text", "quality", "toxic"), "labelled")  # sample rows at most
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[bytes, list[int]] = {}
+        seen: dict[str, list[int]] = {}
         for batch in batches:
             for text, q, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for f in features(text or ""):
@@ -91,15 +106,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> tuple[dict[
                     own[0] += 1
                     own[1] += q
                     own[2] += x
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), *(pa.array([v[i] for v in seen.values()], pa.int64()) for i in range(3))], ["f", "n", "q", "x"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), *(pa.array([v[i] for v in seen.values()], pa.int64()) for i in range(3))], ["f", "n", "q", "x"])
 
     n, q, x = drawn.agg(F.count(F.lit(1)), F.coalesce(F.sum("quality"), F.lit(0)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not n:
         return {}, (0.0, 0.0)
     least = max(4, n // 2000)
-    counts = drawn.mapInArrow(count, "f binary, n long, q long, x long").groupBy("f").agg(*(F.sum(c).alias(c) for c in "nqx")).filter(F.col("n") >= least).collect()
-    names = choose([(bytes(r["f"]), r["n"], r["q"], r["x"]) for r in counts], n, (q, x))
+    counts = drawn.mapInArrow(count, "f string, n long, q long, x long").groupBy("f").agg(*(F.sum(c).alias(c) for c in "nqx")).filter(F.col("n") >= least).collect()
+    names = choose([(r["f"], r["n"], r["q"], r["x"]) for r in counts], n, (q, x))
     number = {f: i for i, f in enumerate(names)}
+    signs = np.array(list(names.values())).reshape(-1, 2)
 
     def use(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,11 +126,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> tuple[dict[
     lists = got.column("f").combine_chunks()
     sizes = np.diff(lists.offsets.to_numpy())
     rows, cols = np.repeat(np.arange(n), sizes), lists.values.to_numpy()
-    weights = [regress(rows, cols, got.column(t).to_numpy().astype(float), len(names)) for t in TARGETS]
+    weights = [regress(rows, cols, got.column(t).to_numpy().astype(float), signs[:, i]) for i, t in enumerate(TARGETS)]
     return {f: (float(weights[0][i]), float(weights[1][i])) for f, i in number.items()}, tuple(float(w[-1]) for w in weights)
 
 
-def evidence(docs: DataFrame, weights: dict[bytes, tuple[float, float]], base: tuple[float, float]) -> DataFrame:
+def evidence(docs: DataFrame, weights: dict[str, tuple[float, float]], base: tuple[float, float]) -> DataFrame:
     """Each document's own log odds for each target."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,10 +158,10 @@ def strength(sites: DataFrame, n: str, total: str, mean: float) -> float:
     return float(min(max(within / between if between > 0 else 1e4, 10.0), 1e4))
 
 
-def judge(df: DataFrame, labels: DataFrame, sample: int = 20_000, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang") -> DataFrame:
+def judge(df: DataFrame, labels: DataFrame, sample: int = 20_000, least_quality: float = 0.5, most_toxic: float = 0.2, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang") -> DataFrame:
     """Per row: doc_id, its evidence, host and path rates, posteriors of quality and toxicity, and keep.
 
-    keep: probably good and probably not toxic. A null text is judged as an empty one. Null
+    keep: p_quality is ``least_quality`` or more and p_toxic under ``most_toxic``. A null text is judged as an empty one. Null
     hosts and paths are sites of their own; a null id has no label. Repeated rows are judged
     alike. Labels that are null or repeated count once at most; without any labels all rows
     get even odds, and are kept. Other columns are ignored. An empty table gives no rows.
@@ -170,7 +186,7 @@ def judge(df: DataFrame, labels: DataFrame, sample: int = 20_000, id_col: str =
         path = F.greatest(F.least(path, F.lit(1 - 1e-4)), F.lit(1e-4))
         out |= {f"host_{t}": host, f"path_{t}": path, f"p_{t}": 1 / (1 + F.exp(-(F.col(t) + odds(path) - odds(F.lit(mean)))))}
     judged = own.join(sites.drop("_host"), "_path").withColumns(out)
-    keep = (F.col("p_quality") >= 0.5) & (F.col("p_toxic") < 0.5) if weights else F.lit(True)
+    keep = (F.col("p_quality") >= least_quality) & (F.col("p_toxic") < most_toxic) if weights else F.lit(True)
     return judged.select("doc_id", "_id", "_hash", *(F.col(t).alias(f"evidence_{t}") for t in TARGETS), *out, keep.alias("keep"))
 
 
