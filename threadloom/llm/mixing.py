@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import WORD, partitions, stored, table
+from threadloom.llm.common import NO_ID, WORD, partitions, stored, table, with_key
 
 WEIGHTS = (5, 2, 1)
 
@@ -48,21 +48,37 @@ def mix(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = 3, id_
     size can't be told apart and may swap places, which changes no result. Rows with null ids
     keep an order by size. Other columns are ignored; an empty table gives no rows.
     """
+    queue = _mixed(df, weights, repeats, id_col, text_col, source_col)
+    return queue.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def repeated(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """df's rows and columns, each row as often as the mix takes it; rows like ``mix``."""
+    taken = _mixed(df, weights, repeats, id_col, text_col, source_col).groupBy(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), "_hash")
+    times = stored(taken.agg(F.sum("_times").cast("int").alias("_times"), F.count(F.lit(1)).alias("_rows")), "times")
+    docs = with_key(df, id_col, text_col)
+    if not times.filter("_rows > 1").isEmpty():  # equal rows: one of them stands for all
+        docs = docs.dropDuplicates(["_id", "_hash"])
+    wanted = times.filter("_times > 0").drop("_rows").hint("shuffle_hash")
+    return docs.join(wanted, ["_id", "_hash"]).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*df.columns)
+
+
+def _mixed(df: DataFrame, weights: tuple[int, ...], repeats: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
     key = F.when(F.col(source_col).isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col(source_col)))
     hashed = F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    docs = stored(df.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), key.alias("_key"), hashed.alias("_hash")), "sizes")
+    docs = stored(df.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("_hash"), F.col(source_col).alias("source"), size.alias("size"), key.alias("_key"), hashed.alias("_order")), "sizes")
     rows, total = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     ranges = max(partitions(df.sparkSession), rows // 50_000)
 
-    dealt = docs.withColumn("_range", F.floor(F.conv(F.substring("_hash", 1, 8), 16, 10).cast("long") * ranges / F.lit(2**32)).cast("int"))
+    dealt = docs.withColumn("_range", F.floor(F.conv(F.substring("_order", 1, 8), 16, 10).cast("long") * ranges / F.lit(2**32)).cast("int"))
     sums = dealt.groupBy("_key", "_range").agg(F.first("source").alias("source"), F.sum("size").alias("_sum"))
     targets = source_targets(sums.groupBy("_key").agg(F.first("source").alias("source"), F.sum("_sum").alias("source_size")), weights, repeats)
     earlier = Window.partitionBy("_key").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.join(targets, "_key").select("_key", "_range", "source_size", "target", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_start"))
-    within = Window.partitionBy("_key", "_range").orderBy("_hash", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("_key", "_range").orderBy("_order", "doc_id", "size", "_hash").rowsBetween(Window.unboundedPreceding, 0)
     queue = dealt.withColumn("_cum", F.sum("size").over(within)).join(starts, ["_key", "_range"])
-    queue = stored(queue.select("doc_id", "size", "source_size", "target", (F.col("_start") + F.col("_cum")).alias("_cum")), "queue")
+    queue = stored(queue.select("doc_id", "_hash", "size", "source_size", "target", (F.col("_start") + F.col("_cum")).alias("_cum")), "queue")
 
     def finish(r):
         return (F.lit(r).cast("long") * F.col("source_size") + F.col("_cum")).cast("double") / F.col("target")
@@ -82,7 +98,8 @@ def mix(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = 3, id_
         last = sorted_part.filter(F.col("_upto") + over["_before"] <= total).agg(F.max("_finish")).first()[0]
         admitted = lambda at: (slot(at) < over["_slot"]) | (at <= F.lit(-1.0 if last is None else last))
     times = sum((F.when(admitted(finish(r)), 1).otherwise(0) for r in range(repeats)), F.lit(0))
-    return queue.select("doc_id", "size", "source_size", "target", F.when(live, F.col("size") * times).otherwise(0).cast("long").alias("taken"))
+    taken = F.when(live, times).otherwise(0)
+    return queue.withColumns({"_times": taken, "taken": (F.col("size") * taken).cast("long")})
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

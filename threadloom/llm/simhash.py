@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threadloom.llm.common import partitions, stored, table
+from threadloom.llm.common import NO_ID, only, partitions, stored, table
 from threadloom.llm.components import components
 
 #: (first bit, bits) of the six blocks, and the pairs of blocks that make a key.
@@ -50,15 +50,16 @@ def fingerprint(text: str, shingle: int) -> int:
 
 
 def fingerprints(df: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp long): a row per row of df; null texts have no words, and their fingerprint is 0."""
+    """(doc_id, _hash of the text, fp long): a row per row of df; null texts have no words, and their fingerprint is 0."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.array([fingerprint(t or "", shingle) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], ["doc_id", "fp"])
+            fp = np.array([fingerprint(t or "", shingle) for t in batch.column(2).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(fp)], ["doc_id", "_hash", "fp"])
 
     kind = df.schema[id_col].dataType
-    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(each, T.StructType([T.StructField("doc_id", kind), T.StructField("fp", T.LongType())]))
+    texts = df.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("_hash"), F.col(text_col).alias("text"))
+    return texts.mapInArrow(each, T.StructType([T.StructField("doc_id", kind), T.StructField("_hash", T.LongType()), T.StructField("fp", T.LongType())]))
 
 
 def keys(fp: str = "fp"):
@@ -181,15 +182,25 @@ def near_dedup(df: DataFrame, bits: int = 4, shingle: int = 4, hot: int = 20_000
 
 
 def classes(docs: DataFrame, bits: int = 4, hot: int = 20_000) -> DataFrame:
-    """docs (a stored table with doc_id, fp) with component_id."""
+    """docs (a stored table with doc_id, fp) with component_id and _root, one fingerprint for each component."""
     fps = stored(docs.groupBy("fp").agg(F.min("doc_id").alias("_least")), "distinct")
     near = components(links(fps.select("fp"), bits, hot))
     tied = stored(near.join(fps, near["node"] == fps["fp"]).select("fp", "root", "_least"), "tied")
     least = stored(tied.groupBy("root").agg(F.min("_least").alias("component_id")), "least")
-    of_fp = tied.join(least, "root").select("fp", "component_id")
-    of_all = stored(fps.join(of_fp, "fp", "left").select("fp", F.coalesce("component_id", "_least").alias("component_id")), "classes")
+    of_fp = tied.join(least, "root").select("fp", "root", "component_id")
+    of_all = stored(fps.join(of_fp, "fp", "left").select("fp", F.coalesce("root", "fp").alias("_root"), F.coalesce("component_id", "_least").alias("component_id")), "classes")
     return docs.join(of_all, "fp")
 
 
+def one_of_each(df: DataFrame, bits: int = 4, shingle: int = 4, hot: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """df's rows and columns, without all but one row (the least id) of each component; rows like ``near_dedup``."""
+    docs = stored(fingerprints(df, shingle, id_col, text_col), "fingerprints")
+    key = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), "_hash")
+    first = stored(classes(docs, bits, hot).groupBy("_root").agg(F.min(key).alias("_first")), "first")
+    left = only(df, first.select("_first.*"), id_col, text_col)
+    unique = docs.groupBy("doc_id", "_hash").count().filter("count > 1").isEmpty()
+    return left if unique else left.dropDuplicates([id_col, text_col])
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"))
