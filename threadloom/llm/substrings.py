@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from threadloom.llm.common import partitions, stored, table, with_key
 
 #: Words after which a block of documents is closed, and entries that a worker's word cache holds.
-BLOCK_WORDS, CACHE_ENTRIES = 2_000_000, 500_000
+BLOCK_WORDS, CACHE_ENTRIES = 1_000_000, 200_000
 _B = 0x9E3779B97F4A7C15
 _B_INVERSE = pow(_B, -1, 2**64)
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -159,7 +159,7 @@ def _answer(rows: list[dict]) -> Iterator[tuple]:
 
 def spans(df: DataFrame, width: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(_id, _hash, spans): for each text with repeats, the word ranges [begin, end) to remove, flat."""
-    parts = partitions(df.sparkSession)
+    parts = 2 * partitions(df.sparkSession)  # a partition's questions are answered in one piece
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs, seen, n = [], set(), 0
