@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from threadloom.llm import mixing
+from threadloom.llm import mixing, top_k
 from threadloom.llm.language_model import op8_language_model
 from threadloom.llm.mixing import op3_mixing
 from threadloom.llm.packing import op4_packing
@@ -11,6 +11,7 @@ from threadloom.llm.sharding import op1_sharding
 from threadloom.llm.simhash import op7_simhash
 from threadloom.llm.substrings import op10_substrings
 from threadloom.llm.token_counts import op2_token_counts
+from threadloom.llm.top_k import op6_top_k
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_token_counts, op3_mixing, op4_packing, op5_quality, op7_simhash, op8_language_model, op10_substrings)}
-ORACLES: dict[str, str] = {"op3_mixing": mixing.SQL.format(documents="documents")}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_token_counts, op3_mixing, op4_packing, op5_quality, op6_top_k, op7_simhash, op8_language_model, op10_substrings)}
+ORACLES: dict[str, str] = {"op3_mixing": mixing.SQL.format(documents="documents"), "op6_top_k": top_k.SQL}
