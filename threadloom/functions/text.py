@@ -13,6 +13,8 @@ EDGE_BEFORE, EDGE_AFTER = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 # The names of keys whose values are secrets, and what a redacted value looks like.
 KEY = r"(?:[A-Za-z][A-Za-z0-9]*[_-]){0,12}(?:api[_-]?key|apikey|token|secret|password|passwd|pwd|access[_-]?key|authorization|bearer|cookie|session|credential)(?:[_-][A-Za-z0-9]+){0,12}"
 PLACEHOLDER = r"\[REDACTED:[A-Z0-9_]+\]"
+#: What any assignment to such a key contains; looking for it first spares most texts the passes.
+ASSIGNED = r"""(?i)(?:api[_-]?key|token|secret|password|passwd|pwd|access[_-]?key|authorization|bearer|cookie|session|credential)[A-Za-z0-9_-]*"?\s*[:=]"""
 BENIGN = r"^(?:true|false|-?\d+(?:\.\d+)?)$"
 # Patterns of stand-alone tokens, in the order in which they are replaced, and their labels.
 TOKENS = (
@@ -62,11 +64,19 @@ def redaction_label(key: Column) -> Column:
     return F.concat(F.lit("[REDACTED:"), name, F.lit("]"))
 
 
+def bound(value: Column, use) -> Column:
+    """use(value), with value computed once however often use names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _rewritten(text: Column, pattern: str, rewrite) -> Column:
     """text with each match replaced by rewrite(match): gaps and matches are zipped back together."""
-    gaps = F.split(text, pattern, -1)
-    found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), rewrite)
-    return F.array_join(F.zip_with(gaps, found, lambda gap, new: F.concat(gap, F.coalesce(new, F.lit("")))), "")
+
+    def pieces(t: Column) -> Column:
+        found = F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), rewrite)
+        return F.array_join(F.zip_with(F.split(t, pattern, -1), found, lambda gap, new: F.concat(gap, F.coalesce(new, F.lit("")))), "")
+
+    return bound(text, pieces)
 
 
 def _assignments(text: Column, quote: str, value: str) -> Column:
@@ -81,18 +91,25 @@ def _assignments(text: Column, quote: str, value: str) -> Column:
     return _rewritten(text, pattern, replace)
 
 
-def redacted(text: Column) -> Column:
-    """text with secrets replaced by labelled placeholders; values that are numbers or booleans stay, and reruns change nothing."""
-    out = F.regexp_replace(text, r"(?i)" + EDGE_BEFORE + r"([a-z][a-z0-9+.-]*://)[^/\s:@]+:[^/\s@]+@", "$1[REDACTED:URL_CREDENTIALS]@")
+def _assigned(text: Column) -> Column:
+    """text with the values of secret keys replaced: in JSON, in quotes, and bare."""
     value = r"""[^\s"'`,}\]]+"""
-    out = F.regexp_replace(out, r"(?i)(" + EDGE_BEFORE + r"(?:authorization|proxy-authorization)" + EDGE_AFTER + r"""\s*[:=]\s*)(["']?)(?:bearer\s+""" + value + r"|basic\s+" + value + "|" + PLACEHOLDER + "|" + value + r")(\2)", "$1$2[REDACTED:AUTHORIZATION]$3")
-
     json = rf"""(?i)("({KEY})"\s*:\s*")([^"\n]*)(")"""
-    out = _rewritten(out, json, lambda m: F.concat(F.regexp_extract(m, json, 1), redaction_label(F.regexp_extract(m, json, 2)), F.lit('"')))
+    out = _rewritten(text, json, lambda m: F.concat(F.regexp_extract(m, json, 1), redaction_label(F.regexp_extract(m, json, 2)), F.lit('"')))
 
     for quote in ('"', "'"):
         out = _assignments(out, quote, rf"{PLACEHOLDER}|[^\"'\n]*")
     out = _assignments(out, "", f"{PLACEHOLDER}|{value}")
+    return out
+
+
+def redacted(text: Column) -> Column:
+    """text with secrets replaced by labelled placeholders; values that are numbers or booleans stay, and reruns change nothing."""
+    out = F.regexp_replace(text, r"(?i)" + EDGE_BEFORE + r"([a-z][a-z0-9+.-]*://)[^/\s:@]+:[^/\s@]+@", "$1[REDACTED:URL_CREDENTIALS]@")
+    value = r"""[^\s"'`,}\]]+"""
+    out = F.regexp_replace(out, r"(?i)(" + EDGE_BEFORE + r"(?:authorization|proxy-authorization)" + EDGE_AFTER + r"""\s*[:=]\s*)(["']?)(?:bearer\s+""" + value + r"|basic\s+" + value + "|" + PLACEHOLDER + "|" + value + r")(\2)", "$1$2[REDACTED:AUTHORIZATION]$3")
+
+    out = bound(out, lambda t: F.when(t.rlike(ASSIGNED), _assigned(t)).otherwise(t))
     for pattern, label in TOKENS:
         out = F.regexp_replace(out, pattern, label)
     return out
@@ -100,8 +117,9 @@ def redacted(text: Column) -> Column:
 
 def retained(text: Column, most: int = 200) -> Column:
     """A tool result as it is kept: struct(content, truncated, original_line_count); lines are counted before redaction."""
-    clean, n = redacted(text), line_count(text)
-    return F.struct(F.when(n > most, truncated_lines(clean, most)).otherwise(clean).alias("content"), (n > most).alias("truncated"), n.cast("long").alias("original_line_count"))
+    n = line_count(text)
+    content = bound(redacted(text), lambda t: F.when(n > most, truncated_lines(t, most)).otherwise(t))
+    return F.struct(content.alias("content"), (n > most).alias("truncated"), n.cast("long").alias("original_line_count"))
 
 
 def image_placeholder(source: Column) -> Column:

@@ -96,7 +96,8 @@ def blocks(lines: DataFrame, sidechains: bool = False, tool_results: bool = True
     each = own.select("session_id", "source_kind", "source_id", "ord", "h", F.posexplode(F.coalesce(content_blocks(content), plain)).alias("i", "b")).withColumn("tool_use_id", F.when(F.col("b.type") == "tool_use", F.col("b.id")).otherwise(F.col("b.tool_use_id")))
     each = each.join(tool_names(lines), ["session_id", "source_id", "tool_use_id"], "left")
     b, role, kind = F.col("b"), F.col("h.message.role"), F.col("b.type")
-    kept = retained(result_text(b["content"]))
+    each = each.withColumn("_kept", F.when(kind == "tool_result", retained(result_text(b["content"]))))
+    kept = F.col("_kept")
     says = F.when(role == "user", "user_text").otherwise("assistant_text")
     typed = each.select(
         F.concat(h["uuid"], F.lit(":"), F.col("i").cast("string")).alias("id"), F.when(kind.isin("text", "image"), says).otherwise(kind).alias("type"), "session_id", h["timestamp"].alias("timestamp"), h["uuid"].alias("message_uuid"), h["parentUuid"].alias("parent_uuid"),
