@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Sequence
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word of a text, as the contracts define it.
@@ -64,11 +64,16 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str,
 NO_ID = 2**63 - 1
 
 
+def key(id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
+    """_id (never null) and _hash (of the text): equal for equal rows only, up to hash collisions within an id."""
+    return [F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_id"), F.xxhash64(F.col(text_col)).alias("_hash")]
+
+
 def with_key(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df with _id (never null) and _hash (of the text): equal for equal rows only, up to hash collisions within an id."""
-    return df.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "_hash": F.xxhash64(F.col(text_col))})
+    """(row, _id, _hash): df's columns in a struct, where no name of theirs can clash."""
+    return df.select(F.struct(*(df[c] for c in df.columns)).alias("row"), *key(id_col, text_col))
 
 
 def only(df: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df's rows and columns whose key is in kept (_id, _hash); texts are shuffled once, unsorted."""
-    return with_key(df, id_col, text_col).join(kept.hint("shuffle_hash"), ["_id", "_hash"], "left_semi").select(*df.columns)
+    return with_key(df, id_col, text_col).join(kept.hint("shuffle_hash"), ["_id", "_hash"], "left_semi").select("row.*")

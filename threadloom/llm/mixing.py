@@ -2,7 +2,9 @@
 
 Each source's documents are shuffled by a hash and queued up to ``repeats`` times over. A
 copy's virtual finish time is its source's cumulative words divided by the source's
-target. All copies are sorted by it globally and cut off at the total budget.
+target. All copies are sorted by it globally and cut off at the total budget. A copy that
+would only start after its source has its target is left out, so that no source makes up
+for what another's long documents leave open.
 
 No step needs a whole source, or the whole queue, in one task: cumulative sums are taken
 within ranges of the shuffle hash (source, range) and of the finish time, and the totals
@@ -43,7 +45,7 @@ def mix(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = 3, id_
     """Per row: doc_id, size, source_size, target, taken.
 
     Whole documents are taken, ``repeats`` times at most; the words taken of a source miss its
-    target by less than the documents at the cut. A null text has size 0 and nothing is
+    target by less than one document. A null text has size 0 and nothing is
     taken of it. Null sources form one source, after all others. Rows equal in id, source and
     size can't be told apart and may swap places, which changes no result. Rows with null ids
     keep an order by size. Other columns are ignored; an empty table gives no rows.
@@ -60,7 +62,7 @@ def repeated(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = 3
     if not times.filter("_rows > 1").isEmpty():  # equal rows: one of them stands for all
         docs = docs.dropDuplicates(["_id", "_hash"])
     wanted = times.filter("_times > 0").drop("_rows").hint("shuffle_hash")
-    return docs.join(wanted, ["_id", "_hash"]).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*df.columns)
+    return docs.join(wanted, ["_id", "_hash"]).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("row.*")
 
 
 def _mixed(df: DataFrame, weights: tuple[int, ...], repeats: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
@@ -81,18 +83,20 @@ def _mixed(df: DataFrame, weights: tuple[int, ...], repeats: int, id_col: str, t
     queue = stored(queue.select("doc_id", "_hash", "size", "source_size", "target", (F.col("_start") + F.col("_cum")).alias("_cum")), "queue")
 
     def finish(r):
-        return (F.lit(r).cast("long") * F.col("source_size") + F.col("_cum")).cast("double") / F.col("target")
+        """A copy's virtual finish time; null if it would only start after its source has its target."""
+        done = F.lit(r).cast("long") * F.col("source_size") + F.col("_cum")
+        return F.when(done - F.col("size") < F.col("target"), done.cast("double") / F.col("target"))
 
     def slot(at):
         return F.floor(F.least(at, F.lit(4.0)) * ranges)
 
     live = (F.col("target") > 0) & (F.col("size") > 0)
-    copies = queue.filter(live).select("size", F.explode(F.array(*map(finish, range(repeats)))).alias("_finish")).withColumn("_slot", slot(F.col("_finish")))
+    copies = queue.filter(live).select("size", F.explode(F.array(*map(finish, range(repeats)))).alias("_finish")).filter("_finish is not null").withColumn("_slot", slot(F.col("_finish")))
     slots = copies.groupBy("_slot").agg(F.sum("size").alias("_sum"))  # 4 x ranges rows at most
     running = slots.withColumn("_upto", F.sum("_sum").over(Window.orderBy("_slot").rowsBetween(Window.unboundedPreceding, 0)))
     over = running.filter(F.col("_upto") > total).orderBy("_slot").select("_slot", (F.col("_upto") - F.col("_sum")).alias("_before")).first()
     if over is None:
-        admitted = lambda at: F.lit(True)
+        admitted = lambda at: at.isNotNull()
     else:
         sorted_part = copies.filter(F.col("_slot") == over["_slot"]).withColumn("_upto", F.sum("size").over(Window.partitionBy("_slot").orderBy("_finish")))
         last = sorted_part.filter(F.col("_upto") + over["_before"] <= total).agg(F.max("_finish")).first()[0]
@@ -121,7 +125,7 @@ t AS (SELECT source, source_size, least(CAST(3 * source_size AS DOUBLE), max(sha
 c AS (SELECT d.doc_id, d.size, t.source_size, t.target, CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY h, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cum,
              row_number() OVER () AS k
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-f AS (SELECT k, size, CAST(r * source_size + cum AS DOUBLE) / target AS finish FROM c, (VALUES (0), (1), (2)) v(r) WHERE target > 0 AND size > 0),
+f AS (SELECT k, size, CAST(r * source_size + cum AS DOUBLE) / target AS finish FROM c, (VALUES (0), (1), (2)) v(r) WHERE target > 0 AND size > 0 AND r * source_size + cum - size < target),
 u AS (SELECT *, sum(size) OVER (ORDER BY finish) AS upto FROM f),
 n AS (SELECT k, count(*) AS times FROM u WHERE upto <= (SELECT sum(size) FROM d) GROUP BY k)
 SELECT doc_id, size, source_size, target, CAST(size * coalesce(times, 0) AS BIGINT) AS taken FROM c LEFT JOIN n USING (k)

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threadloom.llm.common import NO_ID, stored, table, with_key
+from threadloom.llm.common import NO_ID, key, stored, table
 
 TARGETS = ("quality", "toxic")
 SPACES = {c: " " for c in (9, 10, 11, 12, 13)}
@@ -167,7 +167,7 @@ def judge(df: DataFrame, labels: DataFrame, sample: int = 20_000, least_quality:
     get even odds, and are kept. Other columns are ignored. An empty table gives no rows.
     """
     name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
-    docs = with_key(df, id_col, text_col).select(F.col(id_col).alias("doc_id"), "_id", "_hash", name(host_col).alias("_host"), F.concat(name(host_col), F.lit("/"), name(path_col)).alias("_path"), F.col(text_col).alias("text"))
+    docs = df.select(F.col(id_col).alias("doc_id"), *key(id_col, text_col), name(host_col).alias("_host"), F.concat(name(host_col), F.lit("/"), name(path_col)).alias("_path"), F.col(text_col).alias("text"))
     truth = labels.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic"))
     weights, base = fit(docs.filter(F.col("_id") != NO_ID), truth, sample)
     truth = truth.dropDuplicates(["_id"]).select("_id", *(F.col(t).alias(f"_true_{t}") for t in TARGETS))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threadloom.llm.common import partitions, stored, table, with_key
+from threadloom.llm.common import key, partitions, stored, table, with_key
 
 #: Words after which a block of documents is closed, and entries that a worker's word cache holds.
 BLOCK_WORDS, CACHE_ENTRIES = 1_000_000, 200_000
@@ -201,7 +201,7 @@ def spans(df: DataFrame, width: int = 20, id_col: str = "doc_id", text_col: str
         lists = pa.ListArray.from_arrays(pa.array(2 * edges, pa.int32()), pa.array(pairs.ravel()))
         return pa.table({"_id": ids[of[edges[:-1]]], "_hash": hashes[of[edges[:-1]]], "spans": lists})
 
-    texts = with_key(df, id_col, text_col).select("_id", "_hash", F.col(text_col).alias("text"))
+    texts = df.select(*key(id_col, text_col), F.col(text_col).alias("text"))
     # a block's own row is marked by -1 - its partition, so that it travels with the partition's questions
     asked = texts.mapInArrow(ask, SCHEMA)
     answered = asked.groupBy(F.when(F.col("part") < 0, -1 - F.col("part")).otherwise(F.col("part")).alias("to")).applyInArrow(answer, SCHEMA)
@@ -209,9 +209,9 @@ def spans(df: DataFrame, width: int = 20, id_col: str = "doc_id", text_col: str
 
 
 def with_spans(df: DataFrame, width: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df's rows with a column of the word ranges to remove, null if there are none."""
+    """(row, spans): df's rows, each in a struct, with the word ranges to remove, null if there are none."""
     found = stored(spans(df, width, id_col, text_col), "spans").distinct().hint("shuffle_hash")
-    return with_key(df, id_col, text_col).join(found, ["_id", "_hash"], "left").drop("_id", "_hash")
+    return with_key(df, id_col, text_col).join(found, ["_id", "_hash"], "left").select("row", "spans")
 
 
 def kept_words(words: list, ranges: list[int]) -> list:
@@ -243,7 +243,7 @@ def remove_repeats(df: DataFrame, width: int = 20, id_col: str = "doc_id", text_
 
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     fields = [T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())]
-    return with_spans(docs, width).select("doc_id", "text", "spans").mapInArrow(each, T.StructType(fields))
+    return with_spans(docs, width).select("row.*", "spans").mapInArrow(each, T.StructType(fields))
 
 
 def cut_repeats(df: DataFrame, width: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -258,7 +258,9 @@ def cut_repeats(df: DataFrame, width: int = 20, id_col: str = "doc_id", text_col
         edges = [0, *(at[r] for r in ranges), len(raw)]
         return b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)).decode()
 
-    return with_spans(df, width, id_col, text_col).withColumn(text_col, F.when(F.col("spans").isNull(), F.col(text_col)).otherwise(cut(F.col(text_col), F.col("spans")))).select(*df.columns)
+    text = F.col("row").getField(text_col)
+    left = F.when(F.col("spans").isNull(), text).otherwise(cut(text, F.col("spans")))
+    return with_spans(df, width, id_col, text_col).select(F.col("row").withField(text_col, left).alias("row")).select("row.*")
 
 
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
