@@ -14,7 +14,7 @@ EDGE_BEFORE, EDGE_AFTER = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 KEY = r"(?:[A-Za-z][A-Za-z0-9]*[_-]){0,12}(?:api[_-]?key|apikey|token|secret|password|passwd|pwd|access[_-]?key|authorization|bearer|cookie|session|credential)(?:[_-][A-Za-z0-9]+){0,12}"
 PLACEHOLDER = r"\[REDACTED:[A-Z0-9_]+\]"
 #: What any assignment to such a key contains; looking for it first spares most texts the passes.
-ASSIGNED = r"""(?i)(?:api[_-]?key|token|secret|password|passwd|pwd|access[_-]?key|authorization|bearer|cookie|session|credential)[A-Za-z0-9_-]*"?\s*[:=]"""
+ASSIGNED = r"""(?i)(?:api[_-]?key|token|secret|password|passwd|pwd|access[_-]?key|authorization|bearer|cookie|session|credential)(?:[_-][A-Za-z0-9]+){0,12}"?\s*[:=]"""
 BENIGN = r"^(?:true|false|-?\d+(?:\.\d+)?)$"
 # Patterns of stand-alone tokens, in the order in which they are replaced, and their labels.
 TOKENS = (

@@ -66,8 +66,8 @@ def compacted(entries: DataFrame, leaf: str | None = None) -> DataFrame:
     """
     path = root_path(entries, leaf).join(entries.select("session_id", "id", "type", "first_kept_id", "retained"), ["session_id", "id"])
     last = path.filter("type = 'compaction'").groupBy("session_id").agg(F.max("place").alias("_at"), F.max_by(F.struct("id", "first_kept_id", "retained"), "place").alias("c"))
-    kept = path.select("session_id", F.col("id").alias("_kept"), F.col("place").alias("_from"))
-    on = last.join(kept, (last["session_id"] == kept["session_id"]) & (F.col("c.first_kept_id") == F.col("_kept")), "left").drop(kept["session_id"])
+    kept = path.select(F.col("session_id").alias("_s"), F.col("id").alias("_kept"), F.col("place").alias("_from"))
+    on = last.join(kept, (F.col("session_id") == F.col("_s")) & (F.col("c.first_kept_id") == F.col("_kept")), "left").drop("_s")
     rows = path.join(on, "session_id", "left")
     none, after = F.col("_at").isNull(), F.col("place") > F.col("_at")
     legacy = F.col("c.retained").isNull() & F.col("_from").isNotNull() & (F.col("place") >= F.col("_from")) & (F.col("place") < F.col("_at")) & (F.col("type") != "compaction")
