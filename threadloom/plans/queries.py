@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions import rules, text
-from threadloom.operators import changes, history, tree
+from threadloom.operators import changes, history, render, tree, updates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -336,3 +336,77 @@ def q31_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT conv_id || ':' || turn || ':0' AS id, conv_id AS session_id, role || '_text' AS type, text AS content, CASE WHEN turn > 0 THEN conv_id || ':' || (turn - 1) END AS parent_uuid FROM conversations WHERE role IN ('user', 'assistant') AND trim(text) <> ''")
 def q32_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.blocks(as_history(spark, sf_dir)).select("id", "session_id", "type", "content", "parent_uuid")
+
+
+@query("""
+WITH h AS (SELECT conv_id, (max(turn) - min(turn)) * 60000 AS ms, count(*) FILTER (role = 'user') AS users FROM conversations GROUP BY conv_id),
+m AS (SELECT conv_id, turn, CASE role WHEN 'user' THEN '> ' || CASE WHEN length(text) > 150 THEN substring(text, 1, 150) || '...' ELSE text END || chr(10)
+        ELSE CASE WHEN length(text) > 300 THEN substring(text, 1, 300) || '...' ELSE text END || chr(10) END AS md FROM conversations WHERE role IN ('user', 'assistant') AND text <> ''),
+b AS (SELECT conv_id, string_agg(md, chr(10) ORDER BY turn) AS body FROM m GROUP BY conv_id)
+SELECT h.conv_id AS session_id, '**Session ' || left(CAST(h.conv_id AS VARCHAR), 8) || '** | ' || CASE WHEN ms < 60000 THEN '0s' WHEN ms < 3600000 THEN CAST(ms // 60000 AS VARCHAR) || 'm' ELSE CAST(ms // 3600000 AS VARCHAR) || 'h ' || CAST((ms % 3600000) // 60000 AS VARCHAR) || 'm' END
+       || ' | ' || users || ' exchanges | 0 tool calls' || chr(10) || coalesce(chr(10) || body, '') AS summary
+FROM h LEFT JOIN b ON b.conv_id = h.conv_id""")
+def q33_compact_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = as_history(spark, sf_dir)
+    return render.compact_summary(history.messages(lines), history.headers(lines))
+
+
+@query()
+def q34_export_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = as_history(spark, sf_dir)
+    return render.export_markdown(history.messages(lines), history.headers(lines))
+
+
+@query("""
+WITH t AS (SELECT conv_id, turn, role, text, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS prompt FROM conversations WHERE role IN ('user', 'assistant')),
+g AS (SELECT conv_id, role, prompt, min(turn) AS first, max(turn) AS last, string_agg(text, '' ORDER BY turn) AS content FROM t GROUP BY conv_id, role, prompt)
+SELECT CAST(conv_id AS VARCHAR) AS session_id, conv_id || ':' || role || '_text:' || coalesce('prompt-' || prompt, 'unscoped') || ':stream-' || first AS id, role || '_text' AS type, content, last AS last_turn FROM g""")
+def q35_update_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as a stream of message chunks; a user's turn starts a prompt."""
+    turns = read(spark, sf_dir, "conversations").filter("role in ('user', 'assistant')")
+    user = F.col("role") == "user"
+    meta = F.when(user, F.struct(F.col("turn").alias("promptIndex")))
+    u = F.to_json(F.struct(F.when(user, "user_message_chunk").otherwise("agent_message_chunk").alias("sessionUpdate"), F.struct(F.lit("text").alias("type"), F.col("text").alias("text")).alias("content"), meta.alias("_meta")))
+    rows = turns.select(F.col("conv_id").cast("string").alias("session_id"), F.lit("updates").alias("source_id"), F.col("turn").alias("ord"), F.col("turn").alias("byte_start"), F.col("turn").alias("timestamp"), u.alias("u"), F.lit(None).cast("string").alias("meta_prompt_id"))
+    return updates.blocks(rows).select("session_id", "id", "type", "content", F.col("timestamp").alias("last_turn"))
+
+
+@query("""
+WITH e AS (SELECT user_id, event_id, CASE event_type WHEN 'signup' THEN 'turn_started' WHEN 'view' THEN 'phase_changed' WHEN 'click' THEN 'tool_started' WHEN 'purchase' THEN 'permission_resolved' ELSE 'error' END AS kind FROM events),
+t AS (SELECT *, last_value(CASE WHEN kind = 'turn_started' THEN user_id || ':turn:' || event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS turn FROM e),
+c AS (SELECT user_id, event_id, CASE kind WHEN 'turn_started' THEN 'turn' WHEN 'phase_changed' THEN 'phase' WHEN 'tool_started' THEN 'tool' WHEN 'permission_resolved' THEN 'permission' ELSE 'lifecycle' END AS category,
+             CASE WHEN kind IN ('turn_started', 'phase_changed') THEN coalesce(turn, 'events') WHEN kind IN ('tool_started', 'permission_resolved') THEN 'tool' || event_id % 5 ELSE kind END AS correlation_id,
+             CASE kind WHEN 'phase_changed' THEN 'p' || event_id % 3 WHEN 'permission_resolved' THEN 'allow' ELSE kind END AS state FROM t)
+SELECT user_id AS session_id, category, correlation_id, arg_max(state, event_id) AS state, max(event_id) AS timestamp FROM c GROUP BY user_id, category, correlation_id""")
+def q36_activities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as lifecycle events of each user's session."""
+    events = read(spark, sf_dir, "events")
+    named = {"signup": "turn_started", "view": "phase_changed", "click": "tool_started", "purchase": "permission_resolved"}
+    kind = F.coalesce(F.create_map(*(F.lit(x) for pair in named.items() for x in pair))[F.col("event_type")], F.lit("error"))
+    id_, only = F.col("event_id"), lambda k, c: F.when(kind == k, c)
+    tool = F.when(kind.isin("tool_started", "permission_resolved"), F.concat(F.lit("tool"), (id_ % 5).cast("string")))
+    e = F.to_json(F.struct(kind.alias("type"), F.col("user_id").cast("string").alias("session_id"), only("turn_started", id_).alias("turn_number"), only("phase_changed", F.concat(F.lit("p"), (id_ % 3).cast("string"))).alias("phase"), tool.alias("tool_name"), only("permission_resolved", F.lit("allow")).alias("decision")))
+    rows = events.select(F.col("user_id").alias("session_id"), F.lit("events").alias("source_id"), id_.alias("ord"), id_.alias("timestamp"), e.alias("e"))
+    return updates.activities(rows).select("session_id", "category", "correlation_id", "state", "timestamp")
+
+
+@query("""
+WITH e AS (SELECT user_id, event_id, event_id - event_id % 7 - 1 AS parent FROM events)
+SELECT user_id AS session_id, 'missing_parent' AS code, CAST(event_id AS VARCHAR) AS entry_id, CAST(parent AS VARCHAR) AS related_id FROM e WHERE NOT EXISTS (SELECT 1 FROM events p WHERE p.user_id = e.user_id AND p.event_id = e.parent)""")
+def q37_tree_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    id_ = F.col("event_id")
+    entries = read(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), id_.alias("ord"), id_.cast("string").alias("id"), (id_ - id_ % 7 - 1).cast("string").alias("parent_id"), F.col("event_type").alias("type"))
+    return tree.warnings(entries)
+
+
+@query("""
+WITH e AS (SELECT user_id, event_id, event_type = 'purchase' AS c, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS n FROM events),
+l AS (SELECT user_id, max(n) FILTER (c) AS cut FROM e GROUP BY user_id),
+a AS (SELECT e.user_id, event_id, CASE WHEN cut IS NULL OR n > cut THEN 2 WHEN n = cut THEN 0 WHEN n >= cut - 3 AND NOT c THEN 1 END AS r, n FROM e JOIN l USING (user_id) WHERE cut IS NULL OR n >= cut - 3)
+SELECT user_id AS session_id, CAST(event_id AS VARCHAR) AS key, CAST(row_number() OVER (PARTITION BY user_id ORDER BY r, n) - 1 AS BIGINT) AS place, CASE r WHEN 1 THEN 'kept' ELSE 'entry' END AS origin FROM a WHERE r IS NOT NULL""")
+def q38_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's events as one chain; a purchase compacts all but the three entries before it."""
+    order = Window.partitionBy("user_id").orderBy("event_id")
+    chain = read(spark, sf_dir, "events").withColumns({"up": F.lag("event_id").over(order), "third": F.coalesce(F.lag("event_id", 3).over(order), F.first("event_id").over(order))})
+    entries = chain.select(F.col("user_id").alias("session_id"), F.col("event_id").alias("ord"), F.col("event_id").cast("string").alias("id"), F.col("up").cast("string").alias("parent_id"), F.when(F.col("event_type") == "purchase", "compaction").otherwise("message").alias("type"), F.col("third").cast("string").alias("first_kept_id"), F.lit(None).cast("array<string>").alias("retained"))
+    return tree.compacted(tree.accepted(entries)).select("session_id", "key", "place", "origin")
