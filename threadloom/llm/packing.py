@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threadloom.llm.common import numbered, stored, table
+from threadloom.llm.common import numbered, stored, table, worker_cache
 
 #: Entries that a worker's cache holds at most, and characters of a chunk worth keeping.
 CACHE_ENTRIES, CACHE_CHARS = 500_000, 64
@@ -78,18 +78,13 @@ class Encoder(dict):
         return self.whole(text) if "<|" in text else b"".join(map(self.__getitem__, text.split(" ")))
 
 
-_workers: dict[str, Encoder] = {}
-
-
 def pieces(df: DataFrame, length: int, end_id: int, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Cut each text's ids, with end_id after them, into full sequences and one rest."""
     path = public_tokenizers.path(tokenizer)
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _workers:
-            _workers[path] = Encoder(path)
-        known = _workers[path]
+        known = worker_cache(f"ids {path}", lambda: Encoder(path))
         for batch in batches:
             texts, keep, rows = [(t or "").replace("\n", " ") for t in batch.column(1).to_pylist()], [], []
             for i, text in enumerate(texts):

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threadloom.llm.common import NO_ID, key, stored, table
+from threadloom.llm.common import NO_ID, key, stored, table, worker_cache
 
 TARGETS = ("quality", "toxic")
 SPACES = {c: " " for c in (9, 10, 11, 12, 13)}
@@ -99,6 +99,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> tuple[dict[
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, list[int]] = {}
+
+        def counted() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), *(pa.array([v[i] for v in seen.values()], pa.int64()) for i in range(3))], ["f", "n", "q", "x"])
+            seen.clear()
+            return out
+
         for batch in batches:
             for text, q, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for f in features(text or ""):
@@ -106,7 +112,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> tuple[dict[
                     own[0] += 1
                     own[1] += q
                     own[2] += x
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), *(pa.array([v[i] for v in seen.values()], pa.int64()) for i in range(3))], ["f", "n", "q", "x"])
+                if len(seen) > 200_000:
+                    yield counted()
+        yield counted()
 
     n, q, x = drawn.agg(F.count(F.lit(1)), F.coalesce(F.sum("quality"), F.lit(0)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not n:
@@ -134,6 +142,7 @@ def evidence(docs: DataFrame, weights: dict[str, tuple[float, float]], base: tup
     """Each document's own log odds for each target."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("evidence", dict)
         for batch in batches:
             hits = [[weights[f] for f in sorted(weights.keys() & features(t or ""))] for t in batch.column("text").to_pylist()]
             odds = [pa.array([base[i] + sum(h[i] for h in hit) for hit in hits], pa.float64()) for i in (0, 1)]

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threadloom.llm.common import NO_ID, only, partitions, stored, table
+from threadloom.llm.common import NO_ID, only, partitions, stored, table, worker_cache
 from threadloom.llm.components import components
 
 #: (first bit, bits) of the six blocks, and the pairs of blocks that make a key.
@@ -53,6 +53,7 @@ def fingerprints(df: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_c
     """(doc_id, _hash of the text, fp long): a row per row of df; null texts have no words, and their fingerprint is 0."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("fingerprints", dict)
         for batch in batches:
             fp = np.array([fingerprint(t or "", shingle) for t in batch.column(2).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(fp)], ["doc_id", "_hash", "fp"])

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threadloom.llm.common import key, partitions, stored, table, with_key
+from threadloom.llm.common import key, partitions, stored, table, with_key, worker_cache
 
 #: Words after which a block of documents is closed, and entries that a worker's word cache holds.
 BLOCK_WORDS, CACHE_ENTRIES = 1_000_000, 200_000
@@ -51,9 +51,6 @@ class Words(dict):
         return h
 
 
-_words = Words()
-
-
 def powers(base: int, n: int) -> np.ndarray:
     return np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(n, base, np.uint64))))
 
@@ -162,7 +159,7 @@ def spans(df: DataFrame, width: int = 20, id_col: str = "doc_id", text_col: str
     parts = 2 * partitions(df.sparkSession)  # a partition's questions are answered in one piece
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs, seen, n = [], set(), 0
+        docs, seen, n, known = [], set(), 0, worker_cache("words", Words)
         block = TaskContext.get().partitionId() << 24  # a rerun of the task gives its blocks the same names
         for batch in batches:
             for i, h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
@@ -170,7 +167,7 @@ def spans(df: DataFrame, width: int = 20, id_col: str = "doc_id", text_col: str
                 if len(words) < width or (i, h) in seen:
                     continue
                 seen.add((i, h))
-                docs.append((i, h, np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))))
+                docs.append((i, h, np.fromiter(map(known.__getitem__, words), np.uint64, len(words))))
                 n += len(words)
                 if n >= BLOCK_WORDS:
                     for row in _ask(docs, width, parts, block):

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threadloom.llm.common import table
+from threadloom.llm.common import table, worker_cache
 
 MARK = "▁"
 #: Entries that a worker's cache holds at most, and characters of a pre-token worth keeping.
@@ -83,9 +83,6 @@ def frequent_lengths(path: str) -> dict[str, int]:
     return dict(zip(words, map(len, model.encode(words, num_threads=1)), strict=True))
 
 
-_workers: dict[str, Lengths] = {}
-
-
 def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096, model: str = "piece_bpe_32k.model") -> DataFrame:
     """Per row: id, n_bytes (UTF-8), n_tokens of the whole text, over_limit.
 
@@ -99,9 +96,7 @@ def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kind = df.schema[id_col].dataType
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _workers:
-            _workers[path] = Lengths(_model(path), frequent.value)
-        known = _workers[path]
+        known = worker_cache(f"lengths {path}", lambda: Lengths(_model(path), frequent.value))
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             n = []
