@@ -51,7 +51,7 @@ def test_pipeline(spark):
     assert after.doc_id.is_unique and set(after.doc_id) <= set(before.doc_id)
     before, after = kept["substring dedup"]
     want = {i: n - gone for i, n, gone, _ in brute_substrings(list(zip(before.doc_id, before.text, before.source, strict=True)))}
-    assert dict(zip(after.doc_id, after.text.str.encode("utf8").str.split().str.len(), strict=True)) == want
+    assert {i: len((t or "").encode().split()) for i, t in zip(after.doc_id, after.text, strict=True)} == want
     assert (after.n_chars == after.text.str.len()).all()
     before, after = kept["mixing to target weights"]
     copies = Counter(after.doc_id)
