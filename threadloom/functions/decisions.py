@@ -101,3 +101,77 @@ def transcript_numbers(transcript: Column) -> Column:
         F.regexp_count(transcript, F.lit('"tool_name":"Bash"')).alias("commands"), errors.alias("errors"), tools.alias("tools"),
         F.array_distinct(F.filter(files, lambda f: ~F.contains(f, F.lit("node_modules")))).alias("files"), F.nullif(F.regexp_extract(transcript, '"timestamp":"([^"]+)"', 1), F.lit("")).alias("start_time"),
     )
+
+
+# Commands that may take long, and the seconds that a script's name gives (the name, or it before a colon; first match counts).
+LONG_RUNNING = (
+    "check:fast", "check", "check:ci", r"fix:file\s+--\s+.+", "typecheck:all", "lint:focus", "lint:dev", "lint", "lint:classify", "lint:session:.+", "sync", "validate:.+",
+)
+LONG_CODEGEN = r"^npx convex codegen(\s+--typecheck[=-](?:disable|enable))?\z"
+SCRIPT_SECONDS = (
+    ("check:fast", 180), ("check", 180), ("fix:file", 120), ("typecheck:all", 120), ("lint:focus", 90), ("lint:dev", 90), ("lint", 120), ("lint:classify", 90), ("lint:session", 90), ("sync", 120), ("codegen", 60),
+)
+# What a task's text, a URL's host and a tool's values should not hold.
+CONCERNS = ("delete.*all", "remove.*everything", "format.*drive", "system.*admin")
+INTERNAL_HOSTS = ("localhost", "127.0.0.1", "0.0.0.0", "10.", "192.168.", "172.")
+RISKY_VALUES = (r"rm\s+-rf", "sudo.*rm", "chmod.*777", "passwd.*root")
+#: What a dot stands for in these patterns: anything within a line.
+IN_LINE = r"[^\n\r\x{2028}\x{2029}]*"
+
+
+def sanitized_command(command: Column) -> Column:
+    return trimmed(F.regexp_replace(F.regexp_replace(command, "[`$()]", ""), ";+", ";"))
+
+
+def long_running(command: Column) -> Column:
+    return rules.any_match(trimmed(command), [*(rf"^npm run {script}\z" for script in LONG_RUNNING), LONG_CODEGEN])
+
+
+def command_seconds(command: Column) -> Column:
+    """The time that a command is given, by the script it runs."""
+    script = F.regexp_extract(command, r"npm run ([\w:]+)", 1)
+    out = F.when(F.lit(False), F.lit(0))
+    for name, seconds in SCRIPT_SECONDS:
+        out = out.when((script == name) | script.startswith(f"{name}:"), seconds)
+    return out.when(F.contains(script, F.lit("validate")) | F.contains(script, F.lit("check")), 180).otherwise(120)
+
+
+def suppresses_lint(content: Column) -> Column:
+    return content.rlike(r"(?i)(//|/\*)\s*eslint-disable")
+
+
+def concerning_task(text: Column) -> Column:
+    return rules.any_match(text, [f"(?i){p.replace('.*', IN_LINE)}" for p in CONCERNS])
+
+
+def internal_url(url: Column) -> Column:
+    """The host holds a name or the beginning of an address of an own network; an invalid URL has no host."""
+    host = F.try_parse_url(url, F.lit("HOST"))
+    return F.coalesce(F.exists(F.array(*map(F.lit, INTERNAL_HOSTS)), lambda part: F.contains(host, part)), F.lit(False))
+
+
+def risky_values(values: Column) -> Column:
+    """values: a tool's string arguments, joined."""
+    return rules.any_match(values, [p.replace(".*", IN_LINE) for p in RISKY_VALUES])
+
+
+def instruction_issues(text: Column) -> Column:
+    checks = (
+        (F.contains(text, F.lit("ignore")) | F.contains(text, F.lit("delete all")), "aggressive"),
+        (F.length(text) > 1000, "long"),
+        (F.length(text) < 10, "brief"),
+    )
+    return F.filter(F.array(*(F.when(found, F.lit(name)) for found, name in checks)), lambda x: x.isNotNull())
+
+
+def syntax_issues(content: Column, path: Column) -> Column:
+    """What a file's text does not close: brackets and unescaped quotes of scripts, values of JSON."""
+    count = lambda pattern: F.regexp_count(content, F.lit(pattern))
+    script = path.rlike(r"\.(ts|tsx|js|jsx)\z")
+    checks = (
+        (path.endswith(".json") & F.try_parse_json(content).isNull(), "json"),
+        (script & (count(r"[{\[]") != count(r"[}\]]")), "brackets"),
+        (script & (count(r"(?<!\\)'") % 2 != 0), "single quotes"),
+        (script & (count(r'(?<!\\)"') % 2 != 0), "double quotes"),
+    )
+    return F.filter(F.array(*(F.when(found, F.lit(name)) for found, name in checks)), lambda x: x.isNotNull())

@@ -159,3 +159,9 @@ def fold_changes(changes: DataFrame, keys: list[str], order: str) -> DataFrame:
     last = changes.groupBy(*keys).agg(F.max_by(F.struct("*"), order).alias("_last"), deleted.alias("_deleted"))
     first = changes.join(last.select(*keys, "_deleted"), keys).filter(F.col("_deleted").isNull() | (F.col(order) > F.col("_deleted"))).groupBy(*keys).agg(F.min(order).alias("first_order"))
     return last.filter("_last.op = 'upsert'").join(first, keys).select("_last.*", "first_order")
+
+
+def summaries(turns: DataFrame) -> DataFrame:
+    """(session_id, message_count, first_text) of turns (session_id, ord, role, text): spoken messages, and a user's first text."""
+    spoken = F.col("role").isin("user", "assistant")
+    return turns.groupBy("session_id").agg(F.count_if(spoken).alias("message_count"), F.min_by(F.when(F.col("role") == "user", F.col("text")), F.when(F.col("role") == "user", F.col("ord"))).alias("first_text"))

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from threadloom.functions import rules, text
+from threadloom.functions import decisions, rules, text
 from threadloom.operators import changes, history, render, tree, updates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -410,3 +410,71 @@ def q38_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     chain = read(spark, sf_dir, "events").withColumns({"up": F.lag("event_id").over(order), "third": F.coalesce(F.lag("event_id", 3).over(order), F.first("event_id").over(order))})
     entries = chain.select(F.col("user_id").alias("session_id"), F.col("event_id").alias("ord"), F.col("event_id").cast("string").alias("id"), F.col("up").cast("string").alias("parent_id"), F.when(F.col("event_type") == "purchase", "compaction").otherwise("message").alias("type"), F.col("third").cast("string").alias("first_kept_id"), F.lit(None).cast("array<string>").alias("retained"))
     return tree.compacted(tree.accepted(entries)).select("session_id", "key", "place", "origin")
+
+
+MORE_COMMANDS = COMMANDS + ", ('npm run check'), ('npm run check:all'), ('npm run lint:session:a'), ('npm run my:check'), ('npm run fix:file -- a b'), ('npx convex codegen'), ('npm test'), ('git status'), ('echo `x` $(y);; z'), ('which a')"
+
+
+@query(rf"""
+SELECT command, CASE WHEN regexp_matches(command, '\brm\s+-rf?\s+[/~]|\bsudo\s+rm\b') THEN 'deny'
+  WHEN regexp_matches(command, '\bgrep\b[^|\n]*(?:\n|$)|\bfind\s+\S+\s+-name\b|\bchmod\s+777\b|\bmv\s+[^|]+\s+/dev/null|\|\s*sh\s*$') THEN 'ask'
+  WHEN regexp_matches(command, '^(ls|cat|head|tail|less|more|file|stat|wc|du|find|ps|top|jobs|git (status|log|diff|branch|show))|^(echo|which|type)\s+') THEN 'allow' ELSE 'pass' END AS decision,
+  regexp_matches(command, '^npm run (check|check:fast|check:ci|fix:file\s+--\s+.+|lint|lint:session:.+)$|^npx convex codegen$') AS long_running,
+  CAST(CASE WHEN command LIKE 'npm run %check%' THEN 180 WHEN command LIKE 'npm run lint:session%' THEN 120 ELSE 120 END AS INTEGER) AS seconds,
+  trim(regexp_replace(regexp_replace(command, '[`$()]', '', 'g'), ';+', ';', 'g')) AS sanitized
+FROM (VALUES {MORE_COMMANDS}) v(command)""")
+def q39_command_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    command = F.col("command")
+    rows = spark.sql(f"SELECT command FROM VALUES {MORE_COMMANDS} v(command)")
+    return rows.select("command", decisions.bash_decision(command).alias("decision"), decisions.long_running(command).alias("long_running"), decisions.command_seconds(command).alias("seconds"), decisions.sanitized_command(command).alias("sanitized"))
+
+
+@query("""
+WITH b AS (SELECT user_id, event_type, epoch_us(max(ts)) // 1000 - epoch_us(min(ts)) // 1000 AS ms FROM events GROUP BY user_id, event_type)
+SELECT user_id AS session_id, event_type, CASE WHEN ms < 60000 THEN CAST(floor(ms / 1000.0 + 0.5) AS BIGINT) || 's' WHEN ms < 3600000 THEN CAST(floor(ms / 60000.0 + 0.5) AS BIGINT) || 'm'
+  ELSE ms // 3600000 || 'h ' || CAST(floor((ms % 3600000) / 60000.0 + 0.5) AS BIGINT) || 'm' END AS duration FROM b""")
+def q40_duration_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ms = lambda c: F.unix_millis(c.cast("timestamp"))
+    spans = read(spark, sf_dir, "events").groupBy(F.col("user_id").alias("session_id"), "event_type").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
+    return spans.select("session_id", "event_type", text.duration_label(ms(F.col("b")) - ms(F.col("a"))).alias("duration"))
+
+
+@query(r"""
+SELECT page_id, substr(regexp_replace(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 40) AS slug,
+       regexp_matches(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1), 'localhost|127\.0\.0\.1|0\.0\.0\.0|10\.|192\.168\.|172\.') AS internal
+FROM pages""")
+def q41_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "pages").select("page_id", text.slug(F.col("url")).alias("slug"), decisions.internal_url(F.col("url")).alias("internal"))
+
+
+@query("""
+WITH c AS (SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), 'permission|approve') THEN 'permission' WHEN regexp_matches(lower(text), 'waiting|input') THEN 'waiting' WHEN regexp_matches(lower(text), 'error|failed') THEN 'error' ELSE 'info' END AS class FROM conversations)
+SELECT conv_id, turn, class, CASE WHEN class IN ('permission', 'error') THEN 'high' WHEN class = 'waiting' THEN 'normal' ELSE 'low' END AS priority FROM c""")
+def q42_notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decisions.notification_class(F.col("text"), F.lit(None).cast("string"))
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", found.alias("class"), decisions.notification_priority(found).alias("priority"))
+
+
+@query(r"""
+SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)command not found') THEN 'Command' WHEN regexp_matches(text, '(?i)permission denied') THEN 'Permission' WHEN regexp_matches(text, '(?i)no such file or directory') THEN 'File'
+    WHEN regexp_matches(text, '(?i)npm.*ENOENT') THEN 'npm' WHEN regexp_matches(text, '(?i)git.*not a git repository') THEN 'Not' WHEN regexp_matches(text, '(?i)typescript.*error') THEN 'TypeScript' END AS hint,
+  regexp_matches(text, '(?i)(//|/\*)\s*eslint-disable') AS suppresses, regexp_matches(text, '(?i)(delete.*all|remove.*everything|format.*drive|system.*admin)') AS concerning, regexp_matches(text, 'rm\s+-rf|sudo.*rm|chmod.*777|passwd.*root') AS risky,
+  concat_ws(',', CASE WHEN contains(text, 'ignore') OR contains(text, 'delete all') THEN 'aggressive' END, CASE WHEN length(text) > 1000 THEN 'long' END, CASE WHEN length(text) < 10 THEN 'brief' END) AS issues
+FROM documents""")
+def q43_text_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = F.col("text")
+    hint = F.nullif(F.regexp_extract(decisions.failure_hint(own), r"^\w+", 0), F.lit(""))
+    return read(spark, sf_dir, "documents").select("doc_id", hint.alias("hint"), decisions.suppresses_lint(own).alias("suppresses"), decisions.concerning_task(own).alias("concerning"), decisions.risky_values(own).alias("risky"), F.array_join(decisions.instruction_issues(own), ",").alias("issues"))
+
+
+@query("SELECT conv_id AS session_id, count(*) FILTER (role IN ('user', 'assistant')) AS message_count, arg_min(text, turn) FILTER (role = 'user') AS first_text FROM conversations GROUP BY conv_id")
+def q44_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.summaries(read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("ord"), "role", "text"))
+
+
+@query(r"""
+WITH n AS (SELECT page_id, len(regexp_extract_all(html, '[{\[]')) <> len(regexp_extract_all(html, '[}\]]')) AS b,
+  (len(regexp_extract_all(html, '''')) - len(regexp_extract_all(html, '\\'''))) % 2 <> 0 AS s, (len(regexp_extract_all(html, '"')) - len(regexp_extract_all(html, '\\"'))) % 2 <> 0 AS d FROM pages)
+SELECT page_id, concat_ws(',', CASE WHEN b THEN 'brackets' END, CASE WHEN s THEN 'single quotes' END, CASE WHEN d THEN 'double quotes' END) AS issues FROM n""")
+def q45_syntax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "pages").select("page_id", F.array_join(decisions.syntax_issues(F.col("html"), F.lit("a.js")), ",").alias("issues"))
