@@ -116,7 +116,7 @@ SELECT text, x AS redacted FROM k""".format(secrets=SECRETS))
 def q07_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.sql(f"SELECT text FROM VALUES {SECRETS.replace(chr(39) * 2, chr(92) + chr(39))} v(text)")
     own = F.col("text")
-    documents = read(spark, sf_dir, "documents").select("text").filter(~F.contains(F.lower(own), F.lit("session")) | F.contains(own, F.lit('token = "')))
+    documents = read(spark, sf_dir, "documents").select("text")  # all of them: the SQL, whose rules are fewer, leaves some out
     return rows.unionAll(documents).select("text", text.redacted(own).alias("redacted"))
 
 
