@@ -13,10 +13,13 @@
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -25,13 +28,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from tokenizers import pre_tokenizers
 
 from threadloom.llm.common import numbered, stored, table, worker_cache
 
-#: Entries that a worker's cache holds at most, and characters of a chunk worth keeping.
-CACHE_ENTRIES, CACHE_CHARS = 500_000, 64
-#: A chunk of its own between the chunks of one call, to find their borders again.
-BORDER = "\x01"
+#: Entries that each of a worker's two caches holds at most, and characters of a chunk worth keeping.
+CACHE_ENTRIES, CACHE_CHARS = 400_000, 64
+#: Chunks that this module splits itself: printable ASCII and the letters of Latin-1, none of which composes with a neighbour.
+PLAIN = re.compile(r"[\x21-\x7EÀ-ÖØ-öø-ÿ]+")
+# How the tokenizer splits them, in lower case.
+PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 
 
 @lru_cache(2)
@@ -41,38 +47,53 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def halved(cache: dict) -> None:
+    """Drop the older half of a full cache."""
+    if len(cache) > CACHE_ENTRIES:
+        for old in list(islice(cache, CACHE_ENTRIES // 2)):
+            del cache[old]
+
+
+class Parts(dict):
+    """Ids (little-endian 32-bit, as bytes) of the lower-case words, digits and marks that chunks are made of."""
+
+    def __init__(self, tok):
+        super().__init__()
+        self.model, self.as_bytes = tok.model, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+
+    def __missing__(self, part: str) -> bytes:
+        letters = part if part.isascii() else self.as_bytes.pre_tokenize_str(part)[0][0]
+        ids = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+        if len(part) <= CACHE_CHARS:
+            halved(self)
+            self[part] = ids
+        return ids
+
+
 class Encoder(dict):
-    """Ids (little-endian 32-bit, as bytes) of the chunks between spaces.
+    """Ids of the chunks between spaces.
 
     The tokenizer drops white space and never joins characters across it, so a text's ids
-    are its chunks' ids one after another. A text that may hold a special token's string
-    is encoded whole.
+    are its chunks' ids one after another. An unknown chunk is split into parts, most of
+    which are known; a chunk with other characters than ``PLAIN`` is encoded by the
+    tokenizer, and a text that may hold a special token's string is encoded whole.
     """
 
     def __init__(self, path: str):
         super().__init__()
         self.tok = _tokenizer(path)
-        self.border = self.tok.encode(BORDER, add_special_tokens=False).ids
+        self.parts = Parts(self.tok)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, chunk: str) -> bytes:
-        return self.whole(chunk)
-
-    def learn(self, texts: list[str]) -> None:
-        if len(self) > CACHE_ENTRIES:
-            self.clear()
-        new = list({c for t in texts for c in t.split(" ") if c not in self and len(c) <= CACHE_CHARS and BORDER not in c and "<|" not in c})
-        for at in range(0, len(new), 2000):
-            part = new[at : at + 2000]
-            ids = np.array(self.tok.encode_batch_fast([f" {BORDER} ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(ids == self.border[0]) if len(self.border) == 1 else ()
-            if len(cuts) != len(part) - 1:  # a chunk has the border's id: encode each by itself
-                self.update((c, self.whole(c)) for c in part)
-                continue
-            raw, edges = ids.tobytes(), [-1, *cuts.tolist(), len(ids)]
-            self.update((c, raw[4 * (a + 1) : 4 * b]) for c, a, b in zip(part, edges, edges[1:], strict=False))
+        plain = PLAIN.fullmatch(chunk)
+        ids = b"".join(map(self.parts.__getitem__, PARTS.findall(chunk.lower()))) if plain or not chunk else self.whole(chunk)
+        if len(chunk) <= CACHE_CHARS:
+            halved(self)
+            self[chunk] = ids
+        return ids
 
     def ids(self, text: str) -> bytes:
         return self.whole(text) if "<|" in text else b"".join(map(self.__getitem__, text.split(" ")))
@@ -88,8 +109,6 @@ def pieces(df: DataFrame, length: int, end_id: int, tokenizer: str, id_col: str
         for batch in batches:
             texts, keep, rows = [(t or "").replace("\n", " ") for t in batch.column(1).to_pylist()], [], []
             for i, text in enumerate(texts):
-                if i % 128 == 0:
-                    known.learn(texts[i : i + 128])
                 raw = known.ids(text) + end
                 n = len(raw) // 4
                 for start in range(0, n, length):
