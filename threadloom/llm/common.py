@@ -96,6 +96,22 @@ def with_key(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return df.select(F.struct(*(df[c] for c in df.columns)).alias("row"), *key(id_col, text_col))
 
 
-def only(df: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df's rows and columns whose key is in kept (_id, _hash); texts are shuffled once, unsorted."""
-    return with_key(df, id_col, text_col).join(kept.hint("shuffle_hash"), ["_id", "_hash"], "left_semi").select("row.*")
+def only(df: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col: str = "text", once: bool = False) -> DataFrame:
+    """df's rows and columns whose key is in kept (_id, _hash); texts are shuffled once, unsorted.
+
+    once: of several rows with one key the first stays, in the order of their other columns as JSON.
+    """
+    rows = with_key(df, id_col, text_col)
+    if once:
+        repeats = rows.groupBy("_id", "_hash").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_id", "_hash")
+        if not repeats.isEmpty():
+            others = F.to_json(F.struct(*(F.col("row")[c] for c in df.columns if c != text_col)))
+            many = rows.join(repeats.hint("shuffle_hash"), ["_id", "_hash"], "left_semi").groupBy("_id", "_hash").agg(F.min_by("row", others).alias("row"))
+            rows = rows.join(repeats.hint("shuffle_hash"), ["_id", "_hash"], "left_anti").unionByName(many.select("row", "_id", "_hash"))
+    return rows.join(kept.hint("shuffle_hash"), ["_id", "_hash"], "left_semi").select("row.*")
+
+
+def text_parts(texts: DataFrame, text_col: str = "text", each: int = 4_000_000) -> int:
+    """Partitions for an exchange of packed words: so many that each gets the words of about ``each`` bytes of text."""
+    size = texts.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
+    return max(4 * partitions(texts.sparkSession), size // each)

@@ -45,10 +45,31 @@ def fingerprint(text: str, shingle: int) -> int:
     digest = xxhash.xxh64_intdigest
     n = len(words) - k + 1
     hashes = np.fromiter((digest(whole[a:b], 42) for a, b in zip(starts[:n].tolist(), ends[k - 1 :].tolist(), strict=True)), "<u8", n)
-    ones = sum(np.unpackbits(hashes[i : i + 65_536].view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.int64) for i in range(0, n, 65_536))
+    return majority(hashes)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the 64-bit hashes."""
+    n = len(hashes)
+    ones = sum((np.unpackbits(hashes[i : i + 65_536].view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.int64) for i in range(0, n, 65_536)), np.zeros(64, np.int64))
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
 
 
+def pivot_distances(fp: np.ndarray, pivots: np.ndarray = PIVOTS) -> list[np.ndarray]:
+    """The distances of each fingerprint to each pivot."""
+    return [np.bitwise_count(fp.view(np.uint64) ^ p).astype(np.int8) for p in pivots]
+
+
+def near_by_pivots(fp: np.ndarray, distances: list[np.ndarray], a: np.ndarray, b: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of positions (a, b) at most ``bits`` apart: distances to pivots discard, the bits themselves decide."""
+    for column in distances:
+        near = np.abs(column[a] - column[b]) <= bits
+        a, b = a[near], b[near]
+    fp = fp.view(np.uint64)  # of a negative number bitwise_count takes the absolute value
+    true = np.bitwise_count(fp[a] ^ fp[b]) <= bits
+    return a[true], b[true]
+
+
 def fingerprints(df: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, _hash of the text, fp long): a row per row of df; null texts have no words, and their fingerprint is 0."""
 
@@ -111,17 +132,12 @@ def linked(key: np.ndarray, fp: np.ndarray, bits: int, pivots: np.ndarray = PIVO
     fp = fp.view(np.uint64)
     order = np.lexsort((np.bitwise_count(fp ^ pivots[0]), key))
     key, fp = key[order], fp[order]
-    table_ = [np.bitwise_count(fp ^ p).astype(np.int8) for p in pivots]
+    table_ = pivot_distances(fp, pivots)
     forest, at, step = Forest(len(fp)), np.arange(len(fp)), 1
     while len(at):
         at = at[at + step < len(fp)]
         at = at[(key[at] == key[at + step]) & (table_[0][at + step] - table_[0][at] <= bits)]  # sorted: a row that fails has no partner further on
-        a, b = at, at + step
-        for column in table_[1:]:
-            near = np.abs(column[a] - column[b]) <= bits
-            a, b = a[near], b[near]
-        true = np.bitwise_count(fp[a] ^ fp[b]) <= bits
-        forest.unite(a[true], b[true])
+        forest.unite(*near_by_pivots(fp, table_[1:], at, at + step, bits))
         step += 1
     root = forest.root(np.arange(len(fp)))
     child = np.flatnonzero(root != np.arange(len(fp)))
@@ -198,9 +214,7 @@ def one_of_each(df: DataFrame, bits: int = 4, shingle: int = 4, hot: int = 20_00
     docs = stored(fingerprints(df, shingle, id_col, text_col), "fingerprints")
     key = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), "_hash")
     first = stored(classes(docs, bits, hot).groupBy("_root").agg(F.min(key).alias("_first")), "first")
-    left = only(df, first.select("_first.*"), id_col, text_col)
-    unique = docs.groupBy("doc_id", "_hash").count().filter("count > 1").isEmpty()
-    return left if unique else left.dropDuplicates([id_col, text_col])
+    return only(df, first.select("_first.*"), id_col, text_col, once=True)
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
