@@ -13,10 +13,10 @@ of the ranges before are added. One task sorts only the range in which the budge
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import NO_ID, WORD, partitions, stored, table, with_key
+from threadloom.llm.common import NO_ID, WORD, numbered, partitions, stored, table, with_key
 
 WEIGHTS = (5, 2, 1)
 
@@ -55,19 +55,34 @@ def mix(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = 3, id_
 
 
 def repeated(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """df's rows and columns, each row as often as the mix takes it; rows like ``mix``."""
-    taken = _mixed(df, weights, repeats, id_col, text_col, source_col).groupBy(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), "_hash")
-    times = stored(taken.agg(F.sum("_times").cast("int").alias("_times"), F.count(F.lit(1)).alias("_rows")), "times")
-    docs = with_key(df, id_col, text_col)
-    if not times.filter("_rows > 1").isEmpty():  # equal rows: one of them stands for all
-        docs = docs.dropDuplicates(["_id", "_hash"])
-    wanted = times.filter("_times > 0").drop("_rows").hint("shuffle_hash")
-    return docs.join(wanted, ["_id", "_hash"]).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("row.*")
+    """df's rows and columns, each row as often as the mix takes it; rows like ``mix``.
+
+    Rows that are equal in id, text and source share what the mix takes of them, in the
+    order of their other columns; each stays a row of its own.
+    """
+    taken = _mixed(df, weights, repeats, id_col, text_col, source_col).groupBy(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), "_hash", "_key")
+    of_times = [F.count_if(F.col("_times") >= k).alias(f"_times_{k}") for k in range(1, repeats + 1)]
+    times = stored(taken.agg(F.count(F.lit(1)).alias("_rows"), *of_times), "times")
+    docs = with_key(df, id_col, text_col).withColumn("_key", _source_key(F.col("row").getField(source_col))).join(times.hint("shuffle_hash"), ["_id", "_hash", "_key"])
+    several = times.filter("_rows > 1").agg(F.coalesce(F.sum("_rows"), F.lit(0))).first()[0]
+    if several:
+        others = F.to_json(F.struct(*(F.col("row")[c] for c in df.columns if c != text_col))).alias("_others")
+        ranked = numbered(docs.filter("_rows > 1").select("*", others), ["_id", "_hash", "_key"], ["_others"], "_rank", several).drop("_others")
+        docs = docs.filter("_rows = 1").withColumn("_rank", F.lit(0).cast("long")).unionByName(ranked)
+    else:
+        docs = docs.withColumn("_rank", F.lit(0).cast("long"))
+    copies = sum((F.when(F.col("_rank") < F.col(f"_times_{k}"), 1).otherwise(0) for k in range(1, repeats + 1)), F.lit(0))
+    return docs.withColumn("_copies", copies).filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("row.*")
+
+
+def _source_key(source: Column) -> Column:
+    return F.when(source.isNull(), F.lit("")).otherwise(F.concat(F.lit("="), source))
 
 
 def _mixed(df: DataFrame, weights: tuple[int, ...], repeats: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    key = F.when(F.col(source_col).isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col(source_col)))
-    hashed = F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
+    key = _source_key(F.col(source_col))
+    no_id = F.concat(F.lit("null:"), F.md5(F.coalesce(F.col(text_col), F.lit(""))))  # spreads rows without an id
+    hashed = F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col(id_col).cast("string"), no_id)))
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     docs = stored(df.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("_hash"), F.col(source_col).alias("source"), size.alias("size"), key.alias("_key"), hashed.alias("_order")), "sizes")
     rows, total = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
@@ -80,7 +95,7 @@ def _mixed(df: DataFrame, weights: tuple[int, ...], repeats: int, id_col: str, t
     starts = sums.join(targets, "_key").select("_key", "_range", "source_size", "target", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_start"))
     within = Window.partitionBy("_key", "_range").orderBy("_order", "doc_id", "size", "_hash").rowsBetween(Window.unboundedPreceding, 0)
     queue = dealt.withColumn("_cum", F.sum("size").over(within)).join(starts, ["_key", "_range"])
-    queue = stored(queue.select("doc_id", "_hash", "size", "source_size", "target", (F.col("_start") + F.col("_cum")).alias("_cum")), "queue")
+    queue = stored(queue.select("doc_id", "_hash", "_key", "size", "source_size", "target", (F.col("_start") + F.col("_cum")).alias("_cum")), "queue")
 
     def finish(r):
         """A copy's virtual finish time; null if it would only start after its source has its target."""
@@ -114,7 +129,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         md5(concat('mix:', coalesce(CAST(doc_id AS VARCHAR), 'null'))) AS h
+         md5(concat('mix:', coalesce(CAST(doc_id AS VARCHAR), 'null:' || md5(coalesce(text, ''))))) AS h
   FROM {documents}),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, CAST([5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS BIGINT) AS weight FROM s),
