@@ -91,43 +91,39 @@ def regress(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, signs: np.ndarray
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> tuple[dict[str, tuple[float, float]], tuple[float, float]]:
-    """Weights of the chosen features for each target, and the intercepts. docs: _id, text; labels: _id, quality, toxic."""
-    known = labels.filter("quality is not null and toxic is not null").dropDuplicates(["_id"])
-    some = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    drawn = stored(docs.join(F.broadcast(some), "_id").dropDuplicates(["_hash"]).select("text", "quality", "toxic"), "labelled")  # sample rows at most
+def majority(target: str) -> Column:
+    """The label that most rows of a group have, ties to 0."""
+    return (2 * F.sum(target) > F.count(F.lit(1))).cast("int").alias(target)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, list[int]] = {}
 
-        def counted() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), *(pa.array([v[i] for v in seen.values()], pa.int64()) for i in range(3))], ["f", "n", "q", "x"])
-            seen.clear()
-            return out
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, most: int = 600, least_share: float = 1 / 2000) -> tuple[dict[str, tuple[float, float]], tuple[float, float]]:
+    """Weights of the chosen features for each target, and the intercepts. docs: _id, _hash, text; labels: _id, quality, toxic, a row per id.
 
+    ``sample`` labelled rows at most are learned from, in the order of a hash of their ids;
+    equal texts count once, with the labels of most of them. A feature is considered if
+    ``least_share`` of them have it, and 4 at least; ``most`` are kept for each target.
+    """
+    some = labels.filter("quality is not null and toxic is not null").orderBy(F.xxhash64("_id"), "_id").limit(sample)
+    chosen = docs.join(F.broadcast(some), "_id").groupBy("_hash").agg(F.first("text").alias("text"), majority("quality"), majority("toxic"))
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text, q, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for f in features(text or ""):
-                    own = seen.setdefault(f, [0, 0, 0])
-                    own[0] += 1
-                    own[1] += q
-                    own[2] += x
-                if len(seen) > 200_000:
-                    yield counted()
-        yield counted()
+            found = [sorted(features(t or "")) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string())), batch.column(1), batch.column(2)], ["f", "quality", "toxic"])
 
+    drawn = stored(chosen.select("text", "quality", "toxic").mapInArrow(look, "f array<string>, quality int, toxic int"), "labelled")  # sample rows at most
     n, q, x = drawn.agg(F.count(F.lit(1)), F.coalesce(F.sum("quality"), F.lit(0)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not n:
         return {}, (0.0, 0.0)
-    least = max(4, n // 2000)
-    counts = drawn.mapInArrow(count, "f string, n long, q long, x long").groupBy("f").agg(*(F.sum(c).alias(c) for c in "nqx")).filter(F.col("n") >= least).collect()
-    names = choose([(r["f"], r["n"], r["q"], r["x"]) for r in counts], n, (q, x))
+    each = drawn.select(F.explode("f").alias("f"), "quality", "toxic").groupBy("f")
+    counts = each.agg(F.count(F.lit(1)).alias("n"), F.sum("quality").alias("q"), F.sum("toxic").alias("x")).filter(F.col("n") >= max(4, int(n * least_share))).collect()
+    names = choose([(r["f"], r["n"], r["q"], r["x"]) for r in counts], n, (q, x), most)
     number = {f: i for i, f in enumerate(names)}
     signs = np.array(list(names.values())).reshape(-1, 2)
 
     def use(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sorted(number[f] for f in number.keys() & features(t or "")) for t in batch.column(0).to_pylist()]
+            found = [sorted(number[f] for f in fs if f in number) for fs in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), batch.column(1), batch.column(2)], ["f", "quality", "toxic"])
 
     got = drawn.mapInArrow(use, "f array<int>, quality int, toxic int").orderBy("f", "quality", "toxic").toArrow()
@@ -156,10 +152,15 @@ def odds(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
+def exact_sum(x: Column) -> Column:
+    """A sum that comes out the same in whatever order rows are added."""
+    return F.sum(x.cast("decimal(28,12)")).cast("double")
+
+
 def strength(sites: DataFrame, n: str, total: str, mean: float) -> float:
     """Prior rows that a site's rate is worth: within over between variance, by the method of moments."""
     rate = F.col(total) / F.col(n)
-    r = sites.agg(F.sum(n).alias("n"), F.count(F.lit(1)).alias("k"), F.sum(F.col(n) * (rate - mean) ** 2).alias("ss"), F.sum(F.col(n) ** 2).alias("nn")).first()
+    r = sites.agg(F.sum(n).alias("n"), F.count(F.lit(1)).alias("k"), exact_sum(F.col(n) * (rate - mean) ** 2).alias("ss"), F.sum(F.col(n).cast("double") ** 2).alias("nn")).first()
     if not r["k"] or r["k"] < 2:
         return 100.0
     within = max(mean * (1 - mean), 1e-9)
@@ -172,20 +173,24 @@ def judge(df: DataFrame, labels: DataFrame, sample: int = 20_000, least_quality:
 
     keep: p_quality is ``least_quality`` or more and p_toxic under ``most_toxic``. A null text is judged as an empty one. Null
     hosts and paths are sites of their own; a null id has no label. Repeated rows are judged
-    alike. Labels that are null or repeated count once at most; without any labels all rows
-    get even odds, and are kept. Other columns are ignored. An empty table gives no rows.
+    alike. Null labels don't count; of repeated ones the majority does, ties to 0, and so of
+    the labels of equal texts. Without any labels all rows get even odds, and are kept. A
+    text of any length is judged by all its words. Other columns are ignored, whatever their
+    names. An empty table gives no rows. Results don't depend on how rows are partitioned.
     """
     name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
     docs = df.select(F.col(id_col).alias("doc_id"), *key(id_col, text_col), name(host_col).alias("_host"), F.concat(name(host_col), F.lit("/"), name(path_col)).alias("_path"), F.col(text_col).alias("text"))
     truth = labels.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic"))
+    known = [F.when(F.count(t) > 0, (2 * F.sum(t) > F.count(t)).cast("int")).alias(t) for t in TARGETS]
+    truth = truth.groupBy("_id").agg(*known)
     weights, base = fit(docs.filter(F.col("_id") != NO_ID), truth, sample)
-    truth = truth.dropDuplicates(["_id"]).select("_id", *(F.col(t).alias(f"_true_{t}") for t in TARGETS))
+    truth = truth.select("_id", *(F.col(t).alias(f"_true_{t}") for t in TARGETS))
     own = evidence(docs, weights, base).join(truth, "_id", "left")
     own = stored(own.select("doc_id", "_id", "_hash", "_host", "_path", *TARGETS, *(F.coalesce(F.col(f"_true_{t}").cast("double"), 1 / (1 + F.exp(-F.col(t)))).alias(f"_y_{t}") for t in TARGETS)), "evidence")
-    sums = [F.count(F.lit(1)).alias("_n"), *(F.sum(f"_y_{t}").alias(f"_s_{t}") for t in TARGETS)]
+    sums = [F.count(F.lit(1)).alias("_n"), *(exact_sum(F.col(f"_y_{t}")).alias(f"_s_{t}") for t in TARGETS)]
     paths = stored(own.groupBy("_host", "_path").agg(*sums), "paths")
-    hosts = paths.groupBy("_host").agg(F.sum("_n").alias("_hn"), *(F.sum(f"_s_{t}").alias(f"_h_{t}") for t in TARGETS))
-    n, *whole = paths.agg(F.sum("_n"), *(F.sum(f"_s_{t}") for t in TARGETS)).first()
+    hosts = paths.groupBy("_host").agg(F.sum("_n").alias("_hn"), *(exact_sum(F.col(f"_s_{t}")).alias(f"_h_{t}") for t in TARGETS))
+    n, *whole = paths.agg(F.sum("_n"), *(exact_sum(F.col(f"_s_{t}")) for t in TARGETS)).first()
     sites, out = paths.join(hosts, "_host"), {}
     for t, total in zip(TARGETS, whole, strict=True):
         mean = min(max((total or 0.0) / (n or 1), 1e-4), 1 - 1e-4)
