@@ -7,8 +7,9 @@
    a row there must reach. Buckets that can't reach it are left out before the shuffle.
 3. In a bucket, a query with a high threshold prunes rows by its three largest
    coordinates (the range that the cosine leaves each), another by length alone. What is
-   left is verified by exact products, and the threshold rises as better rows are found.
-4. A window takes the k best of what the buckets found.
+   left is verified by exact products.
+4. A window takes the k best of what the buckets found. Equal rows travel as one, with
+   their number, and are told apart again here.
 """
 
 from __future__ import annotations
@@ -24,17 +25,17 @@ from pyspark.sql import functions as F
 from threadloom.llm.common import NO_ID, stored, table
 
 #: Rows of a bucket, buckets at most, rows of a bucket's part, queries of a block, and rows that give the first bounds.
-BUCKET_ROWS, BUCKETS, PART_ROWS, BLOCK_QUERIES, HEADS = 512, 4096, 8192, 2048, 4096
+BUCKET_ROWS, BUCKETS, PART_ROWS, BLOCK_QUERIES, HEADS = 512, 4096, 16_384, 16_384, 4096
 #: From this cosine on, coordinates prune better than lengths.
 COORDINATES_FROM = 0.5
 
 
 def whole_numbers(df: DataFrame, scale: int, id_col: str, vec_col: str) -> DataFrame:
-    """(vec_id, q: floor(scale * x) as long, norm, dim) of the rows whose components are all finite; equal rows once."""
+    """(vec_id, q: floor(scale * x) as long, n, norm, dim) of the rows whose components are all finite; n equal rows as one."""
     x = F.transform(F.col(vec_col), lambda v: v.cast("double"))
     finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
     rows = df.select(F.col(id_col).alias("vec_id"), x.alias("x")).filter(F.col("x").isNotNull() & F.coalesce(finite, F.lit(False)))
-    q = rows.select("vec_id", F.transform("x", lambda v: F.floor(v * scale).cast("long")).alias("q")).dropDuplicates(["vec_id", "q"])
+    q = rows.select("vec_id", F.transform("x", lambda v: F.floor(v * scale).cast("long")).alias("q")).groupBy("vec_id", "q").agg(F.count(F.lit(1)).alias("n"))
     return q.withColumn("norm", F.sqrt(F.aggregate("q", F.lit(0.0), lambda a, v: a + v.cast("double") * v))).withColumn("dim", F.size("q"))
 
 
@@ -88,9 +89,11 @@ def top_k(df: DataFrame, every: int = 100, k: int = 10, scale: int = 1024, id_co
 
     Queries are the rows whose id is divisible by ``every``; a query's candidates are the rows of
     other ids with as many components. Rows with a null vector, or null or non-finite
-    components, take no part; equal rows count once. A null id is a candidate, after all
-    others in ties, and no query. Two vectors of one query id are two queries, both
-    returned. Other columns are ignored; an empty table gives no rows.
+    components, take no part. Equal rows are as many candidates, but one query. A null id is
+    a candidate, after all others in ties, and no query. Two vectors of one query id are two
+    queries, both returned. Products are exact while they fit 64 bits, and wrap beyond, as
+    whole numbers in Spark without ANSI checks do. An empty vector has score 0 with another.
+    Other columns are ignored, whatever their names; an empty table gives no rows.
     """
     kind = df.schema[id_col].dataType
     vectors = stored(whole_numbers(df, scale, id_col, vec_col), "vectors")
@@ -131,18 +134,22 @@ def top_k(df: DataFrame, every: int = 100, k: int = 10, scale: int = 1024, id_co
             ids = id_array(own.column("vec_id"))
             norms = own.column("norm").to_numpy()
             order = np.argsort(-norms, kind="stable")
-            ids, norms, q = ids[order], norms[order], matrix(own.column("q"), dim)[order]
+            ids, norms, q, n = ids[order], norms[order], matrix(own.column("q"), dim)[order], own.column("n").to_numpy()[order]
             asking = matrix(questions.column("q"), dim)
             for j, (i, h, norm, floor) in enumerate(zip(*(questions.column(c).to_pylist() for c in ("query_id", "query", "norm", "floor")), strict=True)):
                 found, scores = search_bucket(ids, q, norms, i, asking[j], norm, floor, k)
-                out += [(i, h, None if x == NO_ID else x, s) for x, s in zip(ids[found].tolist(), scores.tolist(), strict=True)]
-        columns = list(zip(*out, strict=True)) if out else [()] * 4
+                out += [(i, h, None if x == NO_ID else x, s, m) for x, s, m in zip(ids[found].tolist(), scores.tolist(), n[found].tolist(), strict=True)]
+        columns = list(zip(*out, strict=True)) if out else [()] * 5
         id_type = own.schema.field("vec_id").type
-        return pa.table([pa.array(columns[0], id_type), pa.array(columns[1], pa.int64()), pa.array(columns[2], id_type), pa.array(columns[3], pa.int64())], ["query_id", "query", "vec_id", "score"])
+        return pa.table([pa.array(columns[0], id_type), pa.array(columns[1], pa.int64()), pa.array(columns[2], id_type), pa.array(columns[3], pa.int64()), pa.array(columns[4], pa.int64())], ["query_id", "query", "vec_id", "score", "n"])
 
-    found = rows.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(search, f"query_id {name}, query long, vec_id {name}, score long")
+    found = rows.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(search, f"query_id {name}, query long, vec_id {name}, score long, n long")
     order = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last())
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    near = found.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= k)
+    upto = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    near = near.withColumn("_before", upto).filter(F.col("_before") < k)
+    ranks = F.sequence(F.col("_before") + 1, F.least(F.col("_before") + F.col("n"), F.lit(k).cast("long")))
+    return near.select("query_id", F.explode(ranks.cast("array<int>")).alias("rank"), "vec_id", "score")
 
 
 def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,8 +161,8 @@ WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
-  SELECT a.vec_id AS query_id, b.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])) AS BIGINT) AS score
-  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
-r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+  SELECT a.vec_id AS query_id, a.q AS query, b.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM (SELECT DISTINCT vec_id, q FROM v WHERE vec_id % 100 = 0) a JOIN v b ON a.vec_id <> b.vec_id),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id, query ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
