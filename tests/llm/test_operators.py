@@ -139,7 +139,7 @@ def brute_mix(rows, weights=(5, 2, 1), repeats=3):
         capped |= over
 
 
-def test_mixing(docs, empty, rows):
+def test_mixing(spark, docs, empty, rows):
     from threadloom.llm.mixing import mix, repeated
 
     got = collect(mix(docs))
@@ -157,6 +157,10 @@ def test_mixing(docs, empty, rows):
     assert all(abs(taken[s] - target[s]) <= 2 * longest[s] for s in of) and sum(taken.values()) <= sum(size)
     assert sorted(map(str, got)) == sorted(map(str, collect(mix(docs.repartition(2)))))
     again = repeated(docs)
+    twins = spark.createDataFrame([(1, "a b c", "x", "s", 3), (1, "a b c", "y", "s", 3), (1, "a b c", "x", "s", 3), (1, "a b c", "x", "t", 3), (2, "d", "x", "t", 1), (None, None, None, None, 0)], "doc_id long, text string, lang string, source string, n_chars int")
+    got_twins, sum_of = Counter((r["doc_id"], r["lang"], r["source"]) for r in repeated(twins).collect()), sum(r["taken"] for r in mix(twins).collect())
+    assert sum(3 if i == 1 else 1 for i, *_ in got_twins.elements()) == sum_of and got_twins[1, "x", "s"] <= 6 and got_twins[1, "y", "s"] <= 3 and got_twins[1, "x", "t"] <= 3
+    assert abs(got_twins[1, "x", "s"] - 2 * got_twins[1, "y", "s"]) <= 2
     assert again.columns == docs.columns
     assert sum(len(WORD.findall(r["text"] or "")) for r in collect(again)) == sum(taken.values())
 
@@ -228,6 +232,9 @@ def test_quality(spark, docs, empty):
     wrong = [i for i in range(400, 600) if got[i]["keep"] != (i % 5 != 0 and i % 7 != 0)]
     assert len(wrong) <= 2
     assert all(0 <= r["p_quality"] <= 1 and 0 <= r["path_toxic"] <= 1 for r in got.values())
+    for n in (1, 3, 7):  # labels of a text or an id that contradict each other, and any partitions
+        again = {r["doc_id"]: r for r in collect(judge(df.repartition(n), truth.repartition(n)))}
+        assert again == got
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert judge(empty, truth).isEmpty()
     assert all(r["keep"] for r in collect(judge(docs, none))) and judge(docs, truth).count() == docs.count()
@@ -244,11 +251,11 @@ def test_sparse_sites_shrink_toward_the_global_rate(spark):
 
 
 def brute_top_k(rows, every, k):
-    ok = {(i, tuple(math.floor(1024 * float(np.float32(x))) for x in v)) for i, v in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)}
+    ok = [(i, tuple(math.floor(1024 * float(np.float32(x))) for x in v)) for i, v in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = Counter()
-    for i, q in ok:
+    for i, q in set(ok):
         if i is not None and i % every == 0:
-            found = sorted((-sum(a * b for a, b in zip(q, v, strict=True)), j is None, j or 0) for j, v in ok if j != i and len(v) == len(q))
+            found = sorted((-sum(a * b for a, b in zip(q, v, strict=True)), j is None, j or 0) for j, v in ok if (j is None or j != i) and len(v) == len(q))
             out.update((i, n, None if none else j, -s) for n, (s, none, j) in enumerate(found[:k], 1))
     return out
 
@@ -263,7 +270,7 @@ def test_top_k(spark, monkeypatch, scaled):
     rng = np.random.default_rng(4)
     vectors = rng.normal(size=(300, 8)) * (rng.lognormal(0, 1, (300, 1)) if scaled else 1)
     rows = [(i, [float(np.float32(x)) for x in v]) for i, v in enumerate(vectors)]
-    rows += [(400 + i, rows[7][1]) for i in range(40)] + [(500, None), (510, [1.0, None] + [0.0] * 6), (520, [float("nan")] * 8), (530, [float("inf")] * 8), (540, [0.0] * 8), (600, [1.0, 2.0]), (601, [3.0, 1.0]), (None, rows[3][1]), rows[5]]
+    rows += [(400 + i, rows[7][1]) for i in range(40)] + [(500, None), (510, [1.0, None] + [0.0] * 6), (520, [float("nan")] * 8), (530, [float("inf")] * 8), (540, [0.0] * 8), (600, [1.0, 2.0]), (601, [3.0, 1.0]), (None, rows[3][1]), (None, rows[3][1]), rows[5], rows[8], rows[8], rows[20], rows[120]]
     df = spark.createDataFrame([(i, v, "x", 1.0) for i, v in rows], "vec_id long, embedding array<float>, q string, norm double")
     got = Counter((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in collect(module.top_k(df, every=10, k=7)))
     assert got == brute_top_k(rows, 10, 7)
@@ -394,6 +401,15 @@ def test_substrings(docs, empty, rows, monkeypatch, block):
     monkeypatch.setattr(substrings, "BLOCK_WORDS", block)
     got = Counter((2**63 - 1 if r["doc_id"] is None else r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in collect(substrings.remove_repeats(docs)))
     assert got == Counter(brute_substrings(rows)) and substrings.remove_repeats(empty).isEmpty()
+    of = defaultdict(list)
+    for i, t, _ in rows:
+        of[2**63 - 1 if i is None else i].append(WORD.findall(t or ""))
+    found = collect(substrings.factors(docs))
+    for r in found:  # a factor is what stands at its source, which is earlier
+        for begin, n, source, place in np.array(r["factors"]).reshape(-1, 4).tolist():
+            assert n >= 20 and (source, place) < (r["_id"], begin)
+            assert any(a[begin : begin + n] == b[place : place + n] and len(a) >= begin + n for a in of[r["_id"]] for b in of[source])
+    assert max(len(r["factors"]) for r in found) > 4
     cut = substrings.cut_repeats(docs)
     assert cut.columns == docs.columns
     kept = Counter(hashlib.sha256(" ".join(WORD.findall(r["text"] or "")).encode()).hexdigest() for r in collect(cut))

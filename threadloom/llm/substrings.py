@@ -1,18 +1,24 @@
 """Operator 10, substring dedup: relative Lempel-Ziv factors against an index of all reference blocks.
 
-The reference is the whole corpus: every run of 20 words, at every position, is an indexed
-block. A document is factored greedily: a factor grows as long as the block at its end
-also starts earlier, and blocks across the borders of factors are looked up like all
-others, so a factor's cover is exact. Factors are 20 words or longer by construction.
-
-1. One Arrow map turns blocks of documents into 64-bit hashes of their windows. A window
+The reference is the whole corpus, in blocks of documents: each run of 20 words (a window)
+is indexed with the place where it starts first. A document is parsed greedily from left to
+right: where a window has an earlier place, a factor begins with that place as its source,
+and it grows by a word as long as the next window's place is the next of the same source.
+Where it ends, windows across the border are looked up like all others, and the next of
+them that is found begins the next factor. Factors are 20 words or longer, so each is a
+duplicate span; overlapping factors make one.
+
+1. One Arrow map turns blocks of documents into hashes of their windows. A window
    that repeats within a block is known to be a repeat there and then; each block asks the
    index once for each of its windows, so a passage in a third of all documents is asked
    for a few times a block and never gathers its documents in one task.
-2. Questions travel as packed arrays to the partition of their hash, which answers for each
-   whether an earlier document, or place, holds the window (exact on (doc_id, start)).
-3. Answers go back to the block, where runs of repeats become spans.
+2. Questions travel as packed arrays to the partition of their hash, which answers each
+   with the window's first place in the corpus (exact on (doc_id, start)), if it is earlier.
+3. Answers go back to the block, which parses its documents into factors and their spans.
 4. Spans are joined to the texts, which are shuffled once.
+
+Windows are compared by 96 bits of two independent hashes: among 10^13 windows a false
+repeat is expected once in a thousand runs.
 """
 
 from __future__ import annotations
@@ -30,12 +36,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threadloom.llm.common import key, partitions, stored, table, with_key, worker_cache
+from threadloom.llm.common import key, stored, table, text_parts, with_key, worker_cache
 
 #: Words after which a block of documents is closed, and entries that a worker's word cache holds.
 BLOCK_WORDS, CACHE_ENTRIES = 1_000_000, 200_000
 _B = 0x9E3779B97F4A7C15
 _B_INVERSE = pow(_B, -1, 2**64)
+#: The base of the hash that checks the first.
+_C = 0xD6E8FEB86659FD93
+_C_INVERSE = pow(_C, -1, 2**64)
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -84,79 +93,135 @@ def unpacked(data: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
-SCHEMA = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("block", T.LongType()), T.StructField("hashes", T.BinaryType()), T.StructField("places", T.BinaryType()), T.StructField("ids", T.BinaryType())])
+#: Questions: hashes, checks and places (document, start) of windows, ids of the documents. Answers: places, and in ids the sources.
+SCHEMA = "part int, block long, hashes binary, checks binary, places binary, ids binary"
+FACTORS = "_id long, _hash long, spans array<int>, factors array<long>"
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], SCHEMA.names)
+    kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 4)
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["part", "block", "hashes", "checks", "places", "ids"])
+
+
+def _new(hashes: np.ndarray, checks: np.ndarray) -> np.ndarray:
+    """Which of the sorted windows differ from the one before."""
+    return np.concatenate(([True], (hashes[1:] != hashes[:-1]) | (checks[1:] != checks[:-1]))) if len(hashes) else np.empty(0, bool)
 
 
 def _ask(docs: list[tuple[int, int, np.ndarray]], width: int, parts: int, block: int) -> Iterator[tuple]:
-    """A block's questions, a row for each partition, and a row with the block's documents and known repeats."""
+    """A block's questions, a row for each partition, and a row with the block's documents and the repeats known in it."""
     docs.sort(key=lambda d: d[:2])
     ids = np.array([d[0] for d in docs], np.int64)
     long = max((len(d[2]) for d in docs), default=0)
-    up, down = powers(_B, long), powers(_B_INVERSE, long)
+    up, down, up2, down2 = powers(_B, long), powers(_B_INVERSE, long), powers(_C, long), powers(_C_INVERSE, long)
     found = [windows(d[2], width, up, down) for d in docs]
     sizes = np.array([len(w) for w in found], np.int64)
-    hashes = np.concatenate(found) if found else np.empty(0, np.uint64)
+    hashes = np.concatenate(found)
+    checks = np.concatenate([windows(mixed(d[2]), width, up2, down2).astype(np.uint32) for d in docs])
     doc = np.repeat(np.arange(len(docs), dtype=np.uint32), sizes)
     start = (np.arange(len(hashes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.uint32)
     if (ids[1:] == ids[:-1]).any():  # rows of one id: their windows in the order of their starts
         order = np.lexsort((doc, start, ids[doc]))
-        hashes, doc, start = hashes[order], doc[order], start[order]
+        hashes, checks, doc, start = hashes[order], checks[order], doc[order], start[order]
     by_hash = np.argsort(hashes, kind="stable")
-    sorted_hashes = hashes[by_hash]
-    new = np.concatenate(([True], sorted_hashes[1:] != sorted_hashes[:-1])) if len(hashes) else np.empty(0, bool)
-    first = by_hash[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(hashes) else by_hash
-    later = np.empty(len(hashes), bool)
-    later[by_hash] = (ids[doc[by_hash]] != ids[doc[first]]) | (start[by_hash] != start[first])
-    yield -1 - block % parts, block, np.array([d[1] for d in docs], np.int64).tobytes(), packed(doc[later], start[later]), packed(ids)
-    hashes, doc, start = hashes[~later], doc[~later], start[~later]
-    to = (hashes % np.uint64(parts)).astype(np.uint16 if parts < 65_536 else np.uint32)
+    new = _new(hashes[by_hash], checks[by_hash])
+    if new.sum() > 1 + np.count_nonzero(np.diff(hashes[by_hash])):  # one hash with two checks
+        by_hash = np.lexsort((checks, hashes))
+        new = _new(hashes[by_hash], checks[by_hash])
+    first = np.empty(len(hashes), np.int64)
+    first[by_hash] = by_hash[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(hashes) else by_hash
+    later = (ids[doc] != ids[doc[first]]) | (start != start[first])
+    places = packed(doc[later], start[later], doc[first[later]], start[first[later]])
+    yield -1 - (block + (block >> 24)) % parts, block, np.array([d[1] for d in docs], np.int64).tobytes(), None, places, packed(ids)
+    hashes, checks, doc, start = hashes[~later], checks[~later], doc[~later], start[~later]
+    to = hashes % np.uint64(parts)
     order = np.argsort(to, kind="stable")
-    hashes, doc, start = hashes[order], doc[order], start[order]
-    edges = np.searchsorted(to[order], np.arange(parts + 1))
+    hashes, checks, doc, start = hashes[order], checks[order], doc[order], start[order]
+    edges = np.searchsorted(to[order], np.arange(parts + 1).astype(np.uint64))
     for p in range(parts):
         a, b = edges[p], edges[p + 1]
         if b > a:
-            yield p, block, hashes[a:b].tobytes(), packed(doc[a:b], start[a:b]), packed(ids[np.unique(doc[a:b])])
+            yield p, block, hashes[a:b].tobytes(), checks[a:b].tobytes(), packed(doc[a:b], start[a:b]), packed(ids[np.unique(doc[a:b])])
 
 
 def _answer(rows: list[dict]) -> Iterator[tuple]:
-    """Which windows of one partition also start earlier; rows of documents pass through."""
+    """The windows of one partition that also start earlier, each with its first place."""
     asked = []
     for r in rows:
         if r["part"] >= 0:
             doc, start = unpacked(r["places"], "<u4", "<u4")
             ids = unpacked(r["ids"], "<i8")[0]
-            asked.append((np.frombuffer(r["hashes"], "<u8"), ids[np.unique(doc, return_inverse=True)[1]], start, doc, r["block"]))
+            asked.append((np.frombuffer(r["hashes"], "<u8"), np.frombuffer(r["checks"], "<u4"), ids[np.unique(doc, return_inverse=True)[1]], start, doc, r["block"]))
     if not asked:
         return
-    hashes, ids, start = (np.concatenate([a[i] for a in asked]) for i in range(3))
+    hashes, checks, ids, start = (np.concatenate([a[i] for a in asked]) for i in range(4))
     order = np.argsort(hashes, kind="stable")
     h = hashes[order]
     same = np.zeros(len(h) + 1, bool)
     same[1:-1] = h[1:] == h[:-1]
     some = order[same[1:] | same[:-1]]  # windows asked for more than once
-    some = some[np.lexsort((start[some], ids[some], hashes[some]))]
-    h = hashes[some]
-    new = np.concatenate(([True], h[1:] != h[:-1])) if len(h) else np.empty(0, bool)
-    first = some[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(h) else some
-    repeat = np.zeros(len(hashes), bool)
-    repeat[some] = (ids[some] != ids[first]) | (start[some] != start[first])
+    some = some[np.lexsort((start[some], ids[some], checks[some], hashes[some]))]
+    new = _new(hashes[some], checks[some])
+    first = some[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(some) else some
+    earlier = (ids[some] != ids[first]) | (start[some] != start[first])
+    source = np.full(len(hashes), -1)
+    source[some[earlier]] = first[earlier]
     at = 0
-    for own, _, begin, doc, block in asked:
-        hit = repeat[at : at + len(own)]
+    for own, _, _, begin, doc, block in asked:
+        of = source[at : at + len(own)]
         at += len(own)
+        hit = of >= 0
         if hit.any():
-            yield 0, block, b"", packed(doc[hit], begin[hit]), b""
+            yield 0, block, b"", None, packed(doc[hit], begin[hit]), packed(ids[of[hit]], start[of[hit]].astype(np.int64))
+
+
+def _parsed(group: pa.Table, width: int) -> pa.Table:
+    """A block's documents with repeats: factors (begin, words, source's id and begin, flat) and the spans that they cover."""
+    rows = group.to_pylist()
+    head = next(r for r in rows if r["part"] < 0)
+    ids, hashes = unpacked(head["ids"], "<i8")[0], np.frombuffer(head["hashes"], "<i8")
+    answers = [(*unpacked(r["places"], "<u4", "<u4"), *unpacked(r["ids"], "<i8", "<i8")) for r in rows if r["part"] >= 0]
+    doc, start, source, place = (np.concatenate(c).astype(np.int64) for c in zip(*answers, strict=True)) if answers else [np.empty(0, np.int64)] * 4
+    again, again_start, of, of_start = (x.astype(np.int64) for x in unpacked(head["places"], *["<u4"] * 4))
+    if len(again):  # a repeat within the block: its source is that of the window's first place in the block, or that place
+        number = doc << 32 | start
+        order = np.argsort(number)
+        asked = of << 32 | of_start
+        at = np.minimum(np.searchsorted(number[order], asked), max(0, len(number) - 1))
+        known = number[order][at] == asked if len(number) else np.zeros(len(asked), bool)
+        at = order[at] if len(number) else at
+        own_source, own_place = ids[of], of_start
+        own_source[known], own_place[known] = source[at[known]], place[at[known]]
+        doc, start, source, place = (np.concatenate(x) for x in ((doc, again), (start, again_start), (source, own_source), (place, own_place)))
+    if not len(doc):
+        return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.list_(pa.int32())), pa.array([], pa.list_(pa.int64()))], ["_id", "_hash", "spans", "factors"])
+    order = np.lexsort((start, doc))
+    doc, start, source, place = doc[order], start[order], source[order], place[order]
+    grows = (doc[1:] == doc[:-1]) & (start[1:] == start[:-1] + 1) & (source[1:] == source[:-1]) & (place[1:] == place[:-1] + 1)
+    first = np.flatnonzero(np.concatenate(([True], ~grows)))
+    doc, begin, words, source, place = doc[first], start[first], np.diff(np.append(first, len(start))) + width - 1, source[first], place[first]
+    factors = np.column_stack((begin, words, source, place))
+    joins = (doc[1:] == doc[:-1]) & (begin[1:] <= begin[:-1] + words[:-1])  # ends rise with begins, as words are width or more
+    opens = np.flatnonzero(np.concatenate(([True], ~joins)))
+    closes = np.append(opens[1:], len(doc)) - 1
+    spans = np.column_stack((begin[opens], begin[closes] + words[closes])).astype(np.int32)
+
+    def lists(of: np.ndarray, values: np.ndarray) -> tuple[pa.ListArray, np.ndarray]:
+        edges = np.append(np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1]))), len(of))
+        return pa.ListArray.from_arrays(pa.array(values.shape[1] * edges, pa.int32()), pa.array(values.ravel())), of[edges[:-1]]
+
+    spans, own = lists(doc[opens], spans)
+    return pa.table([pa.array(ids[own]), pa.array(hashes[own]), spans, lists(doc, factors)[0]], ["_id", "_hash", "spans", "factors"])
 
 
-def spans(df: DataFrame, width: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(_id, _hash, spans): for each text with repeats, the word ranges [begin, end) to remove, flat."""
-    parts = 2 * partitions(df.sparkSession)  # a partition's questions are answered in one piece
+def factors(df: DataFrame, width: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows as ``FACTORS``: for each text with repeats the word ranges [begin, end) to remove, flat, and its factors.
+
+    A factor is four numbers: its first word, its words, and the id and first word of the
+    place that it repeats. What is not a factor is literal.
+    """
+    texts = df.select(*key(id_col, text_col), F.col(text_col).alias("text"))
+    parts = text_parts(texts)  # a partition's questions are answered in one piece
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs, seen, n, known = [], set(), 0, worker_cache("words", Words)
@@ -178,36 +243,18 @@ def spans(df: DataFrame, width: int = 20, id_col: str = "doc_id", text_col: str
 
     def answer(group: pa.Table) -> pa.Table:
         rows = group.to_pylist()
-        return pa.Table.from_batches([_rows([tuple(r[c] for c in SCHEMA.names) for r in rows if r["part"] < 0] + list(_answer(rows)))])
-
-    def settle(group: pa.Table) -> pa.Table:
-        rows = group.to_pylist()
-        head = next(r for r in rows if r["part"] < 0)
-        ids, hashes = unpacked(head["ids"], "<i8")[0], np.frombuffer(head["hashes"], "<i8")
-        doc, start = (np.concatenate(c) for c in zip(*(unpacked(r["places"], "<u4", "<u4") for r in rows), strict=True))
-        order = np.lexsort((start, doc))
-        doc, start = doc[order], start[order].astype(np.int64)
-        if not len(doc):
-            return pa.table({"_id": pa.array([], pa.int64()), "_hash": pa.array([], pa.int64()), "spans": pa.array([], pa.list_(pa.int32()))})
-        own = np.concatenate(([True], doc[1:] != doc[:-1]))
-        begins = own | np.concatenate(([True], start[1:] > start[:-1] + width))
-        ends = np.append(np.flatnonzero(begins)[1:], len(doc)) - 1
-        pairs = np.column_stack((start[begins], start[ends] + width)).astype(np.int32)
-        of = doc[begins]
-        edges = np.append(np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1]))), len(of))
-        lists = pa.ListArray.from_arrays(pa.array(2 * edges, pa.int32()), pa.array(pairs.ravel()))
-        return pa.table({"_id": ids[of[edges[:-1]]], "_hash": hashes[of[edges[:-1]]], "spans": lists})
+        heads = [tuple(r[c] for c in ("part", "block", "hashes", "checks", "places", "ids")) for r in rows if r["part"] < 0]
+        return pa.Table.from_batches([_rows(heads + list(_answer(rows)))])
 
-    texts = df.select(*key(id_col, text_col), F.col(text_col).alias("text"))
     # a block's own row is marked by -1 - its partition, so that it travels with the partition's questions
     asked = texts.mapInArrow(ask, SCHEMA)
     answered = asked.groupBy(F.when(F.col("part") < 0, -1 - F.col("part")).otherwise(F.col("part")).alias("to")).applyInArrow(answer, SCHEMA)
-    return answered.groupBy("block").applyInArrow(settle, "_id long, _hash long, spans array<int>")
+    return answered.groupBy("block").applyInArrow(lambda group: _parsed(group, width), FACTORS)
 
 
 def with_spans(df: DataFrame, width: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(row, spans): df's rows, each in a struct, with the word ranges to remove, null if there are none."""
-    found = stored(spans(df, width, id_col, text_col), "spans").distinct().hint("shuffle_hash")
+    found = stored(factors(df, width, id_col, text_col).select("_id", "_hash", "spans"), "spans").distinct().hint("shuffle_hash")
     return with_key(df, id_col, text_col).join(found, ["_id", "_hash"], "left").select("row", "spans")
 
 
@@ -223,8 +270,8 @@ def remove_repeats(df: DataFrame, width: int = 20, id_col: str = "doc_id", text_
     A word goes if a window of ``width`` words that covers it also starts earlier: in a smaller
     doc_id, or in the same document before. A null text has no words. Rows of one id are one
     document: equal starts don't remove each other, so copies of a row fare alike. A null
-    id sorts after all others. Texts shorter than a window keep all words. Other columns are
-    ignored; an empty table gives no rows.
+    id sorts after all others. Texts shorter than a window keep all words; one of any length
+    is parsed whole. Other columns are ignored, whatever their names; an empty table gives no rows.
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,7 +291,7 @@ def remove_repeats(df: DataFrame, width: int = 20, id_col: str = "doc_id", text_
 
 
 def cut_repeats(df: DataFrame, width: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df's rows and columns, with the repeated words and the white space after them cut from the text."""
+    """df's rows and columns, with the repeated words and the white space after them cut from the text; rows like ``remove_repeats``."""
 
     @F.udf("string", useArrow=True)
     def cut(text, ranges):
