@@ -361,19 +361,57 @@ def test_language_model(docs, empty, rows):
     assert all(math.isclose(again[r["doc_id"], r["n_tokens"]], r["score"]) for r in got) and score(empty).isEmpty()
 
 
+def small_part():
+    from threadloom.llm.language_model import Part
+
+    contexts, shift = 1024, 11
+    keys = np.array([0 << shift | 3, 0 << shift | 5, 1 << shift | 3, 2 << shift | 5])
+    return Part(np.array([7, 8, 9], np.uint64), keys, np.array([40, 3, 5, 1]), contexts, 0)
+
+
 def test_predictive_probabilities_add_up_to_one():
-    from threadloom.llm.language_model import CONTEXTS, D0, D1, S0, S1, Part
-
-    keys = np.array([0 << 11 | 3, 0 << 11 | 5, 1 << 11 | 3, 2 << 11 | 5])
-    part = Part(np.array([7, 8, 9], np.uint64), keys, np.array([40, 3, 5, 1]), 0)
-    tables = part.seatings([part.by_context(np.ones(4))])[-1]
-    assert (tables >= 1).all() and (tables <= part.counts).all()
-    total, customers = part.by_context(tables), part.by_context(part.counts.astype(float))
-    unigram = part.unigram(tables, total.sum())
-    unknown = (S0 + D0 * 3) / (S0 + total.sum())
-    for u in (3, 5, CONTEXTS):
-        own = sum(part.counts[i] - D1 * tables[i] for i in range(4) if keys[i] & 2047 == u)
-        assert math.isclose((own + (S1 + D1 * total[u]) * (unigram.sum() + unknown)) / (S1 + customers[u]), 1)
+    from threadloom.llm.language_model import D0, D1, S0, S1, Seating
+
+    part, rng = small_part(), np.random.default_rng(0)
+    seating = Seating.first(part, part.by_context(np.ones(4)), rng)
+    for _ in range(3):
+        tables = part.tables(seating.tables)
+        total, customers = part.by_context(tables), part.by_context(part.counts)
+        assert (tables >= 1).all() and (tables <= part.counts).all() and len(seating.sizes) == seating.tables.sum()
+        assert (np.add.reduceat(seating.sizes, np.cumsum(seating.tables) - seating.tables) == seating.count).all()
+        unigram, unknown = part.unigram(tables, total.sum()), (S0 + D0 * 3) / (S0 + total.sum())
+        for u in (3, 5, 1024):
+            own = sum(part.counts[i] - D1 * tables[i] for i in range(4) if part.context[i] == u)
+            assert math.isclose((own + (S1 + D1 * total[u]) * (unigram.sum() + unknown)) / (S1 + customers[u]), 1)
+        seating = Seating.of(dict(zip(("part", "block", "words", "per_word", "contexts", "counts", "docs", "sizes"), seating.row(0), strict=True)))
+        seating.sweep(total, rng)
+
+
+def test_sweeps_sample_what_a_customer_by_customer_sampler_samples():
+    from threadloom.llm.language_model import D0, D1, S0, S1, Seating
+
+    part, rng = small_part(), random.Random(1)
+    seating, other = Seating.first(part, part.by_context(np.ones(4)), np.random.default_rng(1)), np.random.default_rng(2)
+    got = np.zeros(3)
+    for k in range(4000):
+        seating.sweep(part.by_context(part.tables(seating.tables)), other)
+        got += seating.tables if k >= 200 else 0
+    pairs = [(part.word[i], part.context[i], int(part.counts[i])) for i in part.several]
+    tables = [[n] for *_, n in pairs]  # one by one, each given all others as they are
+    want = np.zeros(3)
+    for k in range(2000):
+        for i, (w, u, n) in enumerate(pairs):
+            for _ in range(n):
+                at = rng.choices(range(len(tables[i])), tables[i])[0]
+                tables[i][at] -= 1
+                tables[i] = [x for x in tables[i] if x]
+                of = lambda test: sum(len(t) for t, p in zip(tables, pairs, strict=True) if test(p))
+                in_context, whole = of(lambda p: p[1] == u) + (u == 5), of(lambda p: True) + 1
+                new = (S1 + D1 * in_context) * (of(lambda p: p[0] == w) - D0) / (S0 + whole)
+                at = rng.choices(range(len(tables[i]) + 1), [x - D1 for x in tables[i]] + [new])[0]
+                tables[i] = tables[i] + [1] if at == len(tables[i]) else [x + (j == at) for j, x in enumerate(tables[i])]
+        want += [len(t) for t in tables] if k >= 200 else 0
+    assert np.allclose(got / 3800, want / 1800, rtol=0.1)  # pairs that move at once see each other a step late
 
 
 def brute_substrings(rows, width=20):
