@@ -125,14 +125,11 @@ def reduced(rows):
     return {k: (b.get("content"), b.get("title"), b.get("status")) for k, b in blocks.items()}
 
 
-@pytest.mark.parametrize("seed", range(6))
-def test_updates_match_a_step_by_step_reduction(spark, seed):
-    import random
-
-    rng = random.Random(seed)
+def updates_of(rng, n, rewinds):
+    tags = [*updates.CHUNKS] * 3 + ["tool_call", "tool_call_update", "tool_call_update", "turn_completed", "unheard_of"] + ["rewind_marker"] * rewinds
     rows = []
-    for k in range(60):
-        tag = rng.choice([*updates.CHUNKS] * 3 + ["tool_call", "tool_call_update", "tool_call_update", "turn_completed", "rewind_marker", "unheard_of"])
+    for k in range(n):
+        tag = rng.choice(tags)
         u = {"sessionUpdate": tag}
         if tag in updates.CHUNKS:
             u |= {"content": {"type": rng.choice(["text"] * 5 + ["image"]), "text": f"<{k}>"}, "_meta": {}}
@@ -145,9 +142,17 @@ def test_updates_match_a_step_by_step_reduction(spark, seed):
         elif tag == "rewind_marker":
             u["target_prompt_index"] = rng.randrange(4)
         rows.append((10 * k, u))
-    df = spark.createDataFrame([("S", "u", k, start, float(k), json.dumps(u), None) for k, (start, u) in enumerate(rows)], "session_id string, source_id string, ord int, byte_start long, timestamp double, u string, meta_prompt_id string")
-    got = {r["id"]: (r["content"], r["title"], r["status"]) for r in updates.blocks(df).collect()}
-    want = reduced(rows)
+    return rows
+
+
+def test_updates_match_a_step_by_step_reduction(spark):
+    import random
+
+    rng = random.Random(3)
+    logs = {f"S{i}": updates_of(rng, 60, i % 7) for i in range(500)}  # without rewinds to rich in them
+    df = spark.createDataFrame([(s, "u", k, start, float(k), json.dumps(u), None) for s, rows in logs.items() for k, (start, u) in enumerate(rows)], "session_id string, source_id string, ord int, byte_start long, timestamp double, u string, meta_prompt_id string")
+    got = {(r["session_id"], r["id"].removeprefix(r["session_id"])): (r["content"], r["title"], r["status"]) for r in updates.blocks(df).collect()}
+    want = {(s, k.removeprefix("S")): v for s, rows in logs.items() for k, v in reduced(rows).items()}
     assert got == want
 
 
@@ -169,14 +174,14 @@ def entries(spark, rows):
 
 
 def test_tree_acceptance_paths_and_warnings(spark):
-    rows = entries(spark, [("a", None, "message"), ("b", "a", "message"), ("c", "zz", "message"), ("d", "c", "message"), ("e", "b", "message"), ("b", "a", "message"), ("f", "h", "message"), ("g", "e", "label", None, None, "nope"), ("h", "g", "message"), ("i", "b", "message")])
+    rows = entries(spark, [("a", None, "message"), ("b", "a", "message"), ("c", "zz", "message"), ("d", "c", "message"), ("e", "b", "message"), ("b", "a", "message"), ("f", "h", "message"), ("g", "e", "label", None, None, "nope"), ("h", "g", "message"), ("i", "b", "message"), ("k", "f", "message"), ("c", "i", "message"), ("x", "y", "message"), ("y", "x", "message"), ("z", "y", "message"), ("", "a", "message")])
     ok = tree.accepted(rows)
-    assert sorted(r["id"] for r in ok.collect()) == ["a", "b", "e", "g", "h", "i"]
-    assert [r["id"] for r in tree.root_path(ok).orderBy("place").collect()] == ["a", "b", "i"]
+    assert sorted(r["id"] for r in ok.collect()) == ["a", "b", "c", "e", "g", "h", "i"]
+    assert [r["id"] for r in tree.root_path(ok).orderBy("place").collect()] == ["a", "b", "i", "c"]
     assert [r["id"] for r in tree.root_path(ok, "h").orderBy("place").collect()] == ["a", "b", "e", "g", "h"]
-    assert sorted(r["id"] for r in tree.leaves(ok).collect()) == ["h", "i"]
+    assert sorted(r["id"] for r in tree.leaves(ok).collect()) == ["c", "h"]
     assert {r["id"]: r["disposition"] for r in tree.dispositions(ok).collect()}["e"] == "off_branch"
-    assert sorted((r["code"], r["entry_id"]) for r in tree.warnings(rows).collect()) == [("duplicate_id", "b"), ("missing_label_target", "g"), ("missing_parent", "c")]
+    assert sorted((r["code"], r["entry_id"]) for r in tree.warnings(rows).fillna("").collect()) == [("cycle", "x"), ("cycle", "y"), ("dangling_label_reference", "g"), ("duplicate_id", "b"), ("empty_id", ""), *(("missing_parent", x) for x in "cdfkz")]
 
 
 @pytest.mark.parametrize(("kept", "retained", "want"), [("b", None, ["k", "b", "c", "z"]), (None, ["m", "n"], ["k", "retained:k:0", "retained:k:1", "z"]), ("b", [], ["k", "z"]), ("nope", None, ["k", "z"])])
@@ -204,14 +209,22 @@ def test_stream_reads_what_the_batch_reads(spark, tmp_path):
     def run():
         query = follow(spark, str(logs)).writeStream.format("parquet").option("path", str(out)).option("checkpointLocation", str(state)).trigger(availableNow=True).start()
         query.awaitTermination()
-        return [tuple(r) for r in spark.read.parquet(str(out)).orderBy("generation", "byte_start").select("generation", "byte_start", "byte_end", "value").collect()]
+        return [tuple(r) for r in spark.read.parquet(str(out)).orderBy("byte_start", "value").select("byte_start", "byte_end", "value").collect()]
 
     file.write_text('{"a":1}\nééé\ntor')
-    assert run() == [(0, 0, 8, '{"a":1}'), (0, 8, 15, "ééé")]
+    assert run() == [(0, 8, '{"a":1}'), (8, 15, "ééé")]
     with file.open("a") as f:
         f.write("n\n\nlast")
-    assert run()[2:] == [(0, 15, 20, "torn"), (0, 20, 21, "")]
+    assert run()[2:] == [(15, 20, "torn"), (20, 21, "")]
     file.write_text("new\n")
-    assert run()[-1] == (1, 0, 4, "new")
+    assert (0, 4, "new") in run()
+    with file.open("a") as f:
+        f.write("more\n")
+    run()
+    file.write_text("other\n")
+    run()
+    keys = [tuple(r) for r in spark.read.parquet(str(out)).select("path", "generation", "byte_start").collect()]
+    generations = [{r["generation"] for r in spark.read.parquet(str(out)).filter(F.col("value").isin(*values)).collect()} for values in (['{"a":1}', "torn"], ["new", "more"], ["other"])]
+    assert len(keys) == len(set(keys)) == 7 and all(len(g) == 1 for g in generations) and len(set.union(*generations)) == 3
     batch = [(r["byte_start"], r["value"]) for r in jsonl.lines(jsonl.files(spark, str(logs)), require_newline=True).collect()]
-    assert batch == [(0, "new")]
+    assert batch == [(0, "other")]

@@ -7,33 +7,71 @@ are spread over the cluster.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-
-def first_of_each(entries: DataFrame) -> DataFrame:
-    """entries with duplicate: an earlier entry of the session has the id."""
-    least = entries.groupBy("session_id", "id").agg(F.min("ord").alias("_first"))
-    return entries.join(least, ["session_id", "id"]).withColumn("duplicate", F.col("ord") > F.col("_first")).drop("_first")
+from pyspark.sql import types as T
+
+
+def _on_cycles(parents: dict) -> set:
+    """The ids whose parents lead back to them: what is left of the ids that no root reaches when all without children among them are peeled off."""
+    children: dict = {}
+    for id_, parent in parents.items():
+        children.setdefault(parent, []).append(id_)
+    apart, reached = set(parents), [p for p in children if p not in parents]
+    while reached:
+        below = children.get(reached.pop(), [])
+        apart.difference_update(below)
+        reached += below
+    many = {id_: sum(c in apart for c in children.get(id_, ())) for id_ in apart}
+    bare = [id_ for id_ in apart if not many[id_]]
+    while bare:
+        id_ = bare.pop()
+        apart.discard(id_)
+        many[parents[id_]] -= 1
+        if not many[parents[id_]]:
+            bare.append(parents[id_])
+    return apart
+
+
+def _verdicts(session: pa.Table) -> pa.Table:
+    session = session.sort_by("ord")
+    rows = list(zip(session.column("id").to_pylist(), session.column("parent_id").to_pylist(), strict=True))
+    parents: dict = {}
+    for id_, parent in rows:
+        if id_:
+            parents.setdefault(id_, parent)
+    cyclic, known, out = _on_cycles(parents), set(), []
+    for id_, parent in rows:
+        if not id_:
+            out.append("empty_id")
+        elif id_ in known:
+            out.append("duplicate_id")
+        elif id_ in cyclic:
+            out.append("cycle")
+        elif parent is not None and parent not in known:
+            out.append("missing_parent")
+        else:
+            known.add(id_)
+            out.append("accepted")
+    return session.select(["session_id", "ord"]).append_column("verdict", pa.array(out, pa.string()))
+
+
+def verdicts(entries: DataFrame) -> DataFrame:
+    """entries with verdict: accepted, or why not: empty_id, duplicate_id (of an accepted entry), cycle, missing_parent.
+
+    An entry needs a parent that was accepted before it, or none. A session's ids are gone
+    through in order in one task; its other columns stay where they are. ord tells a
+    session's entries apart. A null id is an empty one.
+    """
+    fields = [entries.schema[c] for c in ("session_id", "ord")]
+    of = entries.select("session_id", "ord", "id", "parent_id").groupBy("session_id").applyInArrow(_verdicts, T.StructType([*fields, T.StructField("verdict", T.StringType())]))
+    return entries.join(of, ["session_id", "ord"])
 
 
 def accepted(entries: DataFrame) -> DataFrame:
-    """Entries whose chain of parents was there before them; orphans, and all below them, are left out, and so are duplicates.
-
-    One forward fold over a session's entries in order: an entry joins the map of accepted
-    ids if its parent is null or in it.
-    """
-    first = first_of_each(entries).filter(~F.col("duplicate") & (F.col("id") != ""))
-    edges = first.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("ord", "id", "parent_id"))).alias("_edges"))
-    before = first.select("session_id", F.col("id").alias("parent_id"), F.col("ord").alias("_parent_ord"))
-    linked = first.join(before, ["session_id", "parent_id"], "left")
-    bad = linked.filter(F.col("parent_id").isNotNull() & (F.col("_parent_ord").isNull() | (F.col("_parent_ord") >= F.col("ord"))))
-    broken = bad.select("session_id").distinct().join(edges, "session_id")
-    start = F.expr("named_struct('bad', cast(array() as array<string>))")
-    fold = F.aggregate("_edges", start, lambda s, e: F.struct(F.when(e["parent_id"].isNull() | (F.array_contains(F.col("_known"), e["parent_id"]) & ~F.array_contains(s["bad"], e["parent_id"])), s["bad"]).otherwise(F.array_append(s["bad"], e["id"])).alias("bad")))
-    lost = broken.withColumn("_known", F.transform("_edges", lambda e: e["id"])).select("session_id", F.explode(fold["bad"]).alias("id"))
-    lost = lost.unionAll(bad.select("session_id", "id")).distinct()
-    return first.drop("duplicate").join(lost, ["session_id", "id"], "left_anti")
+    """The entries whose verdict is that: orphans, and all below them, are left out, and so are duplicates and cycles."""
+    return verdicts(entries).filter("verdict = 'accepted'").drop("verdict")
 
 
 def leaves(entries: DataFrame) -> DataFrame:
@@ -91,17 +129,19 @@ def dispositions(entries: DataFrame, leaf: str | None = None, compact: bool = Fa
 
 
 def warnings(entries: DataFrame) -> DataFrame:
-    """(session_id, code, entry_id, related_id): duplicate ids, missing parents, labels and summaries of entries that aren't there."""
-    first = first_of_each(entries)
-    known = first.select("session_id", F.col("id").alias("_k")).distinct()
-
-    def missing(code: str, ref: str, rows: DataFrame) -> DataFrame:
-        asked = rows.filter(F.col(ref).isNotNull()).select("session_id", F.lit(code).alias("code"), F.col("id").alias("entry_id"), F.col(ref).alias("related_id"))
-        return asked.join(known, (asked["session_id"] == known["session_id"]) & (asked["related_id"] == known["_k"]), "left_anti")
-
-    out = first.filter("duplicate").select("session_id", F.lit("duplicate_id").alias("code"), F.col("id").alias("entry_id"), F.lit(None).cast("string").alias("related_id"))
-    out = out.unionAll(missing("missing_parent", "parent_id", entries))
-    for kind, ref, code in (("label", "target_id", "missing_label_target"), ("branch_summary", "from_id", "missing_summary_source")):
+    """(session_id, code, entry_id, related_id): entries that were not accepted, and labels and summaries of entries that were not."""
+    told = verdicts(entries)
+    none = F.lit(None).cast("string")
+    refused = told.filter("verdict <> 'accepted'")
+    code, named = F.col("verdict").alias("code"), F.when(F.col("verdict") != "empty_id", F.col("id"))
+    # a cycle is told of each id once, though the id come again
+    cycles = refused.filter("verdict = 'cycle'").select("session_id", code, named.alias("entry_id"), none.alias("related_id")).distinct()
+    related = F.when(F.col("verdict") == "missing_parent", F.col("parent_id"))
+    out = refused.filter("verdict <> 'cycle'").select("session_id", code, named.alias("entry_id"), related.alias("related_id")).unionAll(cycles)
+    kept = told.filter("verdict = 'accepted'")
+    known = kept.select(F.col("session_id").alias("_s"), F.col("id").alias("_k"))
+    for kind, ref, name in (("label", "target_id", "dangling_label_reference"), ("branch_summary", "from_id", "dangling_branch_reference")):
         if ref in entries.columns:
-            out = out.unionAll(missing(code, ref, entries.filter(F.col("type") == kind)))
+            asked = kept.filter((F.col("type") == kind) & F.col(ref).isNotNull()).select("session_id", F.lit(name).alias("code"), F.col("id").alias("entry_id"), F.col(ref).alias("related_id"))
+            out = out.unionAll(asked.join(known, (F.col("session_id") == F.col("_s")) & (F.col("related_id") == F.col("_k")), "left_anti"))
     return out

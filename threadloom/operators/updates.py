@@ -1,4 +1,4 @@
-"""Dialect B: streams of updates and events, reduced to blocks and activities without a loop.
+"""Dialect B: streams of updates and events, reduced to blocks and activities by windows and aggregates.
 
 Rows carry (session_id, source_id, ord, byte_start, timestamp, u) with u the update's JSON
 text; ord is the merge order of the session.
@@ -6,8 +6,11 @@ text; ord is the merge order of the session.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from threadloom.functions.text import epoch_ms
 from threadloom.operators.changes import joined
@@ -80,37 +83,51 @@ def upserts(rows: DataFrame) -> DataFrame:
     return out.unionAll(use).unionAll(result).unionAll(bounds)
 
 
-def with_lives(writes: DataFrame, rewinds: DataFrame) -> DataFrame:
-    """writes with life (how often a rewind had removed the block before) and gone (a rewind removes it before its next write).
+def _lasting(session: pa.Table) -> pa.Table:
+    """A session's writes (target null) and rewinds in order; which writes are of a block that no later rewind removes."""
+    session = session.sort_by("ord")
+    of_prompt: dict[int, set] = {}
+    prompt_of: dict[str, int | None] = {}
+    writes: dict[str, list[int]] = {}
+    rows = zip(*(session.column(c).to_pylist() for c in ("id", "creates", "prompt", "target")), strict=True)
+    for at, (id_, creates, prompt, target) in enumerate(rows):
+        if target is None and id_ is not None:
+            if creates or id_ not in prompt_of:
+                if prompt_of.get(id_) is not None:
+                    of_prompt[prompt_of[id_]].discard(id_)
+                prompt_of[id_] = prompt
+                if prompt is not None:
+                    of_prompt.setdefault(prompt, set()).add(id_)
+            writes.setdefault(id_, []).append(at)
+        elif target is not None:
+            for later in [p for p in of_prompt if p > target]:
+                for gone in of_prompt.pop(later):
+                    del prompt_of[gone], writes[gone]
+    left = np.array(sorted(at for own in writes.values() for at in own), np.int64)
+    return session.select(["session_id", "id", "ord"]).take(pa.array(left))
+
+
+def lasting(writes: DataFrame, rewinds: DataFrame) -> DataFrame:
+    """The writes of blocks as they are after all rewinds (session_id, ord, target).
 
     A rewind removes blocks whose prompt index is greater than its target; an update of a
-    tool call keeps the index of the write that created the block.
+    tool call keeps the index of the write that created the block, so what a rewind removes
+    depends on the rewinds before it. Sessions with rewinds are gone through in order, each
+    in one task, by ids alone; their texts stay where they are.
     """
-    block = Window.partitionBy("session_id", "id").orderBy("ord")
-    removal = rewinds.select(F.col("session_id").alias("_s"), F.col("ord").alias("_r"), "target")
-
-    def lives(w: DataFrame) -> DataFrame:
-        own = Window.partitionBy("session_id", "id", "life").orderBy("ord")
-        created = F.col("creates") | (F.row_number().over(own) == 1)
-        w = w.withColumn("_made", created)
-        born = F.last(F.when(F.col("_made"), F.struct("prompt")), ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, 0))["prompt"]
-        w = w.withColumns({"_prompt": born, "_next": F.lead("ord").over(block)})
-        between = (F.col("session_id") == F.col("_s")) & (F.col("_r") > F.col("ord")) & (F.col("_next").isNull() | (F.col("_r") < F.col("_next"))) & (F.col("target") < F.col("_prompt"))
-        hits = w.join(removal, between, "left_semi").select("session_id", "id", "ord", F.lit(True).alias("_hit"))
-        w = w.drop("_made", "_prompt", "_next", "life", "gone").join(hits, ["session_id", "id", "ord"], "left").withColumn("gone", F.coalesce("_hit", F.lit(False))).drop("_hit")
-        return w.withColumn("life", F.coalesce(F.sum(F.col("gone").cast("int")).over(block.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-
-    # a block's index depends on its life, and that on the index: the second time, both are of the life that the first found
-    return lives(lives(writes.withColumns({"life": F.lit(0), "gone": F.lit(False)})))
+    rewound = rewinds.select("session_id").distinct()
+    slim = writes.join(rewound, "session_id", "left_semi").select("session_id", "id", "ord", "creates", F.col("prompt").cast("long").alias("prompt"), F.lit(None).cast("long").alias("target"))
+    marks = rewinds.select("session_id", F.lit(None).cast("string").alias("id"), "ord", F.lit(None).cast("boolean").alias("creates"), F.lit(None).cast("long").alias("prompt"), "target")
+    left = slim.unionByName(marks.filter("target is not null")).groupBy("session_id").applyInArrow(_lasting, T.StructType([slim.schema[c] for c in ("session_id", "id", "ord")]))
+    return writes.join(rewound, "session_id", "left_anti").unionByName(writes.join(left, ["session_id", "id", "ord"], "left_semi").select(writes.columns))
 
 
 def blocks(rows: DataFrame) -> DataFrame:
     """The blocks that are left after all updates, with text chunks joined and the last value of each field."""
     u = F.col("u")
     rewinds = rows.filter(get(u, "sessionUpdate") == "rewind_marker").select("session_id", "ord", get(u, "target_prompt_index").try_cast("long").alias("target"))
-    lived = with_lives(upserts(rows), rewinds)
+    alive = lasting(upserts(rows), rewinds)
     last = Window.partitionBy("session_id", "id")
-    alive = lived.withColumn("_end", F.max(F.when(F.col("gone"), F.col("ord"))).over(last)).filter(F.col("_end").isNull() | (F.col("ord") > F.col("_end")))
     said = F.col("type").isin(*CHUNKS.values())
     whole = F.max(F.when(F.col("creates"), F.col("ord"))).over(last)  # a write of the whole block: nothing older counts
     alive = alive.withColumn("_whole", whole).filter(said | F.col("_whole").isNull() | (F.col("ord") >= F.col("_whole")))

@@ -2,12 +2,16 @@
 
 Spark's own file source sees new files only. This one's offset holds, for each file, how
 far its complete lines were read; a micro-batch has one partition per file that grew. A
-file that shrank or whose first line changed is read again from its start, under the next
-generation. Lines that no newline ends yet wait for the next batch.
+file that shrank, or whose inode or first line changed, is read again from its start. A row's
+generation is a number made of the inode and the first line, which tells the contents that
+a path has had apart, in every batch and after restarts; a file cut in place that keeps its
+first line keeps its generation. Lines that no newline ends yet wait for the next batch. A
+missing file is left out, and read from its start when it is back as another.
 """
 
 from __future__ import annotations
 
+import contextlib
 import glob
 import hashlib
 import json
@@ -26,21 +30,20 @@ class Span(InputPartition):
         self.path, self.generation, self.begin, self.end, self.most_bytes = path, generation, begin, end, most_bytes
 
 
-def complete(path: str) -> tuple[int, str]:
-    """The byte after the last newline, and a digest of the first line."""
+def complete(path: str) -> tuple[int, int]:
+    """The byte after the last newline, and the generation."""
     with open(path, "rb") as f:
-        end = f.seek(0, os.SEEK_END)
-        first = b""
+        end, inode = f.seek(0, os.SEEK_END), os.fstat(f.fileno()).st_ino
         while end:
             begin = max(0, end - 65_536)
             f.seek(begin)
             found = f.read(end - begin).rfind(b"\n")
             if found >= 0:
                 f.seek(0)
-                first = f.readline()
-                return begin + found + 1, hashlib.sha256(first).hexdigest()[:16]
+                identity = hashlib.sha256(f"{inode}:".encode() + f.readline()).digest()
+                return begin + found + 1, int.from_bytes(identity[:6], "big")
             end = begin
-    return 0, ""
+    return 0, 0
 
 
 class JsonlTailReader(DataSourceStreamReader):
@@ -51,16 +54,19 @@ class JsonlTailReader(DataSourceStreamReader):
         return {"files": "{}"}
 
     def latestOffset(self) -> dict:
-        paths = sorted(glob.glob(os.path.join(self.folder, "**", "*.jsonl"), recursive=True))
-        return {"files": json.dumps({p: complete(p) for p in paths})}
+        found = {}
+        for path in sorted(glob.glob(os.path.join(self.folder, "**", "*.jsonl"), recursive=True)):
+            with contextlib.suppress(FileNotFoundError):
+                found[path] = complete(path)
+        return {"files": json.dumps(found)}
 
     def partitions(self, start: dict, end: dict) -> list[Span]:
-        before, after, out = json.loads(start["files"]), json.loads(end["files"]), []
-        for path, (size, first) in after.items():
-            begin, known = before.get(path, (0, first))
-            again = bool(begin) and (size < begin or known != first)
-            if size > (0 if again else begin):
-                out.append(Span(path, int(again), 0 if again else begin, size, self.most_bytes))
+        before, out = json.loads(start["files"]), []
+        for path, (size, generation) in json.loads(end["files"]).items():
+            begin, known = before.get(path, (0, generation))
+            begin = 0 if known != generation or size < begin else begin
+            if size > begin:
+                out.append(Span(path, generation, begin, size, self.most_bytes))
         return out or [Span("", 0, 0, 0, 0)]
 
     def read(self, span: Span) -> Iterator[tuple]:
