@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from threadloom.functions.text import EDGE_AFTER, EDGE_BEFORE, trimmed
+from threadloom.functions.text import EDGE_AFTER, EDGE_BEFORE, bound, trimmed
 
 # Fixed values: (pattern, severity, message) of the command rules, in the order in which they are reported.
 BASH_RULES = (
@@ -17,10 +17,13 @@ BASH_RULES = (
     (EDGE_BEFORE + r"mv\s+[^|]+\s+/dev/null", "warning", "Moving files to /dev/null effectively deletes them"),
     (r"\|\s*sh\s*\z", "warning", "Piping to sh can be dangerous with untrusted input"),
 )
+# Parts of dangerous commands.
 DANGEROUS_COMMANDS = ("rm -rf", "sudo", "chmod 777", "dd", "mkfs")
+# Folders of the system, patterns of sensitive paths, and extensions of files without text.
 SYSTEM_FOLDERS = ("/etc/", "/bin/", "/sbin/", "/usr/bin/", "/usr/sbin/")
 SENSITIVE_PATHS = (r"/\.env", r"/\.git/", r"/\.ssh/", r"/\.aws/", r"/\.docker/", "/id_rsa", "/id_ed25519")
 BINARY_EXTENSIONS = (".jpg", ".jpeg", ".png", ".gif", ".svg", ".ico", ".pdf")
+# Patterns of secrets in files.
 FILE_SECRETS = (
     r"""(?i)(password|pwd)\s*[=:]\s*['"]\w+['"]""",
     r"""(?i)(api[_-]?key|apikey)\s*[=:]\s*['"]\w+['"]""",
@@ -30,6 +33,7 @@ FILE_SECRETS = (
     "ghp_[a-zA-Z0-9]{36}",
     "xoxb-[a-zA-Z0-9-]+",
 )
+# Fixed values: (pattern, message) of secrets in prompts.
 PROMPT_SECRETS = (
     (r"""(?i)(?:password|pwd)\s*[=:]\s*["']?\w{3,}["']?""", "Password detected"),
     (r"""(?i)(?:api[_-]?key|apikey)\s*[=:]\s*["']?\w{10,}["']?""", "API key detected"),
@@ -40,6 +44,7 @@ PROMPT_SECRETS = (
     ("AKIA[0-9A-Z]{16}", "AWS access key detected"),
     (r"(?i)(?:mysql|postgres|mongodb)://[^\s]+:[^\s]+@", "Database connection string detected"),
 )
+# Fixed values: (pattern, message) of attempts to inject instructions.
 INJECTIONS = (
     (r"(?i)ignore\s+(?:previous|all|above)\s+(?:instructions?|prompts?|context)", "Instruction override attempt"),
     (r"(?i)you\s+are\s+now\s+(?:a|an)\s+\w+", "Role override attempt"),
@@ -111,11 +116,13 @@ def contains_secrets(content: Column, path: Column) -> Column:
 
 
 def prompt_structure(prompt: Column) -> Column:
-    """struct(short, long_sentence, repeated: the words of over 3 characters that occur over 5 times, sorted)."""
-    words = F.split(F.lower(prompt), r"\s+")
-    long = F.filter(F.array_distinct(words), lambda w: F.length(w) > 3)
-    repeated = F.filter(long, lambda w: F.size(F.filter(words, lambda x: x == w)) > 5)
-    return F.struct((F.length(trimmed(prompt)) < 10).alias("short"), F.exists(F.split(prompt, "[.!?]+"), lambda s: F.length(s) > 200).alias("long_sentence"), F.array_sort(repeated).alias("repeated"))
+    """struct(short, long_sentence, repeated: the words of over 3 characters that occur over 5 times, sorted).
+
+    The words are sorted once: a word is repeated if the fifth after it is the same.
+    """
+    words = F.array_sort(F.filter(F.split(F.lower(prompt), r"\s+"), lambda w: F.length(w) > 3))
+    repeated = bound(words, lambda ws: F.array_distinct(F.filter(F.zip_with(ws, F.slice(ws, 6, F.greatest(F.size(ws), F.lit(1))), lambda w, fifth: F.when(w == fifth, w)), lambda w: w.isNotNull())))
+    return F.struct((F.length(trimmed(prompt)) < 10).alias("short"), F.exists(F.split(prompt, "[.!?]+"), lambda s: F.length(s) > 200).alias("long_sentence"), repeated.alias("repeated"))
 
 
 def is_mcp_tool(name: Column) -> Column:
