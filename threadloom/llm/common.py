@@ -111,7 +111,7 @@ def only(df: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col: str =
     return rows.join(kept.hint("shuffle_hash"), ["_id", "_hash"], "left_semi").select("row.*")
 
 
-def text_parts(texts: DataFrame, text_col: str = "text", each: int = 4_000_000) -> int:
-    """Partitions for an exchange of packed words: so many that each gets the words of about ``each`` bytes of text."""
+def text_parts(texts: DataFrame, text_col: str = "text", each: int = 4_000_000, times: int = 4) -> int:
+    """Partitions for an exchange of packed words: each gets the words of about ``each`` bytes of text, or there are ``times`` the shuffle partitions."""
     size = texts.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
-    return max(4 * partitions(texts.sparkSession), size // each)
+    return max(times * partitions(texts.sparkSession), size // each)

@@ -17,8 +17,10 @@ duplicate span; overlapping factors make one.
 3. Answers go back to the block, which parses its documents into factors and their spans.
 4. Spans are joined to the texts, which are shuffled once.
 
-Windows are compared by 96 bits of two independent hashes: among 10^13 windows a false
-repeat is expected once in a thousand runs.
+A window has two independent hashes, of 64 and 32 bits. Within a block windows are compared
+by both. The second deals questions to partitions, where the first compares them, so the
+number of partitions, which grows with the corpus, counts too: among 10^13 windows a sixth
+of a false repeat is expected, among 10^8 a millionth.
 """
 
 from __future__ import annotations
@@ -93,19 +95,19 @@ def unpacked(data: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
-#: Questions: hashes, checks and places (document, start) of windows, ids of the documents. Answers: places, and in ids the sources.
-SCHEMA = "part int, block long, hashes binary, checks binary, places binary, ids binary"
+#: Questions: hashes and places (document, start) of windows, ids of the documents. Answers: places, and in ids the sources.
+SCHEMA = "part int, block long, hashes binary, places binary, ids binary"
 FACTORS = "_id long, _hash long, spans array<int>, factors array<long>"
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 4)
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["part", "block", "hashes", "checks", "places", "ids"])
+    kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 3)
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["part", "block", "hashes", "places", "ids"])
 
 
-def _new(hashes: np.ndarray, checks: np.ndarray) -> np.ndarray:
+def _new(*hashes: np.ndarray) -> np.ndarray:
     """Which of the sorted windows differ from the one before."""
-    return np.concatenate(([True], (hashes[1:] != hashes[:-1]) | (checks[1:] != checks[:-1]))) if len(hashes) else np.empty(0, bool)
+    return np.concatenate(([True], np.any([h[1:] != h[:-1] for h in hashes], axis=0))) if len(hashes[0]) else np.empty(0, bool)
 
 
 def _ask(docs: list[tuple[int, int, np.ndarray]], width: int, parts: int, block: int) -> Iterator[tuple]:
@@ -132,16 +134,16 @@ def _ask(docs: list[tuple[int, int, np.ndarray]], width: int, parts: int, block:
     first[by_hash] = by_hash[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(hashes) else by_hash
     later = (ids[doc] != ids[doc[first]]) | (start != start[first])
     places = packed(doc[later], start[later], doc[first[later]], start[first[later]])
-    yield -1 - (block + (block >> 24)) % parts, block, np.array([d[1] for d in docs], np.int64).tobytes(), None, places, packed(ids)
+    yield -1 - (block + (block >> 24)) % parts, block, np.array([d[1] for d in docs], np.int64).tobytes(), places, packed(ids)
     hashes, checks, doc, start = hashes[~later], checks[~later], doc[~later], start[~later]
-    to = hashes % np.uint64(parts)
+    to = checks % np.uint32(parts)
     order = np.argsort(to, kind="stable")
-    hashes, checks, doc, start = hashes[order], checks[order], doc[order], start[order]
-    edges = np.searchsorted(to[order], np.arange(parts + 1).astype(np.uint64))
+    hashes, doc, start = hashes[order], doc[order], start[order]
+    edges = np.searchsorted(to[order], np.arange(parts + 1))
     for p in range(parts):
         a, b = edges[p], edges[p + 1]
         if b > a:
-            yield p, block, hashes[a:b].tobytes(), checks[a:b].tobytes(), packed(doc[a:b], start[a:b]), packed(ids[np.unique(doc[a:b])])
+            yield p, block, hashes[a:b].tobytes(), packed(doc[a:b], start[a:b]), packed(ids[np.unique(doc[a:b])])
 
 
 def _answer(rows: list[dict]) -> Iterator[tuple]:
@@ -151,28 +153,28 @@ def _answer(rows: list[dict]) -> Iterator[tuple]:
         if r["part"] >= 0:
             doc, start = unpacked(r["places"], "<u4", "<u4")
             ids = unpacked(r["ids"], "<i8")[0]
-            asked.append((np.frombuffer(r["hashes"], "<u8"), np.frombuffer(r["checks"], "<u4"), ids[np.unique(doc, return_inverse=True)[1]], start, doc, r["block"]))
+            asked.append((np.frombuffer(r["hashes"], "<u8"), ids[np.unique(doc, return_inverse=True)[1]], start, doc, r["block"]))
     if not asked:
         return
-    hashes, checks, ids, start = (np.concatenate([a[i] for a in asked]) for i in range(4))
+    hashes, ids, start = (np.concatenate([a[i] for a in asked]) for i in range(3))
     order = np.argsort(hashes, kind="stable")
     h = hashes[order]
     same = np.zeros(len(h) + 1, bool)
     same[1:-1] = h[1:] == h[:-1]
     some = order[same[1:] | same[:-1]]  # windows asked for more than once
-    some = some[np.lexsort((start[some], ids[some], checks[some], hashes[some]))]
-    new = _new(hashes[some], checks[some])
+    some = some[np.lexsort((start[some], ids[some], hashes[some]))]
+    new = _new(hashes[some])
     first = some[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(some) else some
     earlier = (ids[some] != ids[first]) | (start[some] != start[first])
     source = np.full(len(hashes), -1)
     source[some[earlier]] = first[earlier]
     at = 0
-    for own, _, _, begin, doc, block in asked:
+    for own, _, begin, doc, block in asked:
         of = source[at : at + len(own)]
         at += len(own)
         hit = of >= 0
         if hit.any():
-            yield 0, block, b"", None, packed(doc[hit], begin[hit]), packed(ids[of[hit]], start[of[hit]].astype(np.int64))
+            yield 0, block, b"", packed(doc[hit], begin[hit]), packed(ids[of[hit]], start[of[hit]].astype(np.int64))
 
 
 def _parsed(group: pa.Table, width: int) -> pa.Table:
@@ -221,7 +223,7 @@ def factors(df: DataFrame, width: int = 20, id_col: str = "doc_id", text_col: st
     place that it repeats. What is not a factor is literal.
     """
     texts = df.select(*key(id_col, text_col), F.col(text_col).alias("text"))
-    parts = text_parts(texts)  # a partition's questions are answered in one piece
+    parts = text_parts(texts, each=8_000_000, times=2)  # a partition's questions are answered in one piece
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs, seen, n, known = [], set(), 0, worker_cache("words", Words)
@@ -243,7 +245,7 @@ def factors(df: DataFrame, width: int = 20, id_col: str = "doc_id", text_col: st
 
     def answer(group: pa.Table) -> pa.Table:
         rows = group.to_pylist()
-        heads = [tuple(r[c] for c in ("part", "block", "hashes", "checks", "places", "ids")) for r in rows if r["part"] < 0]
+        heads = [tuple(r[c] for c in ("part", "block", "hashes", "places", "ids")) for r in rows if r["part"] < 0]
         return pa.Table.from_batches([_rows(heads + list(_answer(rows)))])
 
     # a block's own row is marked by -1 - its partition, so that it travels with the partition's questions
