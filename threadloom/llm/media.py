@@ -178,8 +178,9 @@ def fingerprint_and_align(df: DataFrame, references: DataFrame, chroma: Chroma,
     A null, empty or undecodable recording has no frames and no match; a shorter one than an
     integer's run is padded with silence. References are (id, media) with ids of one type;
     null ids and undecodable media among them can't be matched. Repeated rows are treated
-    alike. Ties go to fewer wrong bits, more votes, the smaller reference. Other columns are
-    ignored; an empty table gives no rows.
+    alike. Ties go to fewer wrong bits, more votes, the smaller reference. A recording of any
+    length is heard whole; a reference shorter than an integer's run can't be matched. Other
+    columns are ignored, whatever their names; an empty table gives no rows.
     """
     kind, ref_kind = df.schema[id_col].dataType, references.schema[id_col].dataType
     fields = [T.StructField("id", kind), T.StructField("n_frames", T.LongType()), T.StructField("fingerprint_crc32", T.LongType()), T.StructField("match_id", ref_kind), T.StructField("match_offset", T.LongType()), T.StructField("match_votes", T.LongType()), T.StructField("match_errors", T.DoubleType())]

@@ -191,7 +191,7 @@ def near_dedup(df: DataFrame, bits: int = 4, shingle: int = 4, hot: int = 20_000
     """Per row: doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable by links, itself included).
 
     A null text is one without words: fingerprint zero, linked like any other. Repeated rows
-    are copies. Rows with a null id belong to a component like others; its id is the least
+    are copies. A text of any length gives one fingerprint of all its shingles. Rows with a null id belong to a component like others; its id is the least
     that is not null, or null. Other columns are ignored, and an empty table gives no rows.
     """
     docs = stored(fingerprints(df, shingle, id_col, text_col), "fingerprints")
