@@ -466,7 +466,7 @@ def tune(rng, notes, rate=11025):
     return np.concatenate([0.4 * np.sin(2 * np.pi * 220 * 2 ** (n / 12) * t) + 0.2 * np.sin(2 * np.pi * 440 * 2 ** (n / 12) * t) for n in rng.integers(0, 24, notes)])
 
 
-def test_media_alignment(spark, monkeypatch):
+def test_media_alignment(spark):
     from threadloom.llm import media
 
     rng = np.random.default_rng(11)
@@ -476,9 +476,10 @@ def test_media_alignment(spark, monkeypatch):
     recordings = [(1, wave(noise(np.concatenate([tune(rng, 12), songs[2], tune(rng, 5)]), 0.02))), (2, wave(tune(rng, 40))), (3, wave(songs[0])), (4, None), (5, b""), (6, b"RIFFxxxxWAVEjunk"), (7, wave(np.zeros(50_000))), (8, wave(songs[1][:2000])), (9, wave(noise(songs[3], 0.05)[20_000:], bits=8)), (None, wave(songs[0])), (3, wave(songs[0]))]
     df = spark.createDataFrame([(i, m, 0) for i, m in recordings], "id long, media binary, n_frames int")
     references = spark.createDataFrame([(k, wave(x)) for k, x in enumerate(songs)] + [(None, wave(songs[0])), (9, None), (10, b"bad")], "id long, media binary")
-    for size in (media.PASS_BYTES, 300_000):  # one pass over the references, and several
-        monkeypatch.setattr(media, "PASS_BYTES", size)
+    for threshold in ("10MB", "-1"):  # references broadcast, and exchanged by integer
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
         got = collect(media.fingerprint_and_align(df, references, chroma))
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         assert len(got) == len(recordings)
         match = {r["id"]: r["match_id"] for r in got}
         assert match == {1: 2, 2: None, 3: 0, 4: None, 5: None, 6: None, 7: None, 8: None, 9: 3, None: 0}
@@ -486,6 +487,9 @@ def test_media_alignment(spark, monkeypatch):
         assert abs(first["match_offset"] - 12 * 0.4 * 11025 / chroma.hop) <= 1.5 and first["match_errors"] < 0.25
         frames = {r["id"]: r["n_frames"] for r in got}
         assert frames[4] == frames[5] == frames[6] == 0 and frames[8] == 1 and frames[3] > 80
+    double = spark.createDataFrame([(1, wave(np.concatenate([songs[1], songs[3]])))], "id long, media binary")
+    (row,) = collect(media.fingerprint_and_align(double, references, chroma))
+    assert {m["id"] for m in row["matches"]} == {1, 3} and row["matches"][0]["id"] == row["match_id"]
     assert media.fingerprint_and_align(df.limit(0), references, chroma).isEmpty()
     assert media.fingerprint_and_align(df, references.limit(0), chroma).filter("match_id is not null").isEmpty()
 
@@ -497,8 +501,8 @@ def test_integral_image_filters_match_direct_sums():
     x = rng.normal(size=3000).astype(np.float32)
     chroma = media.TEXT
     ints, heard = media.integers(x, 8000, chroma)
-    window, classes = media._tables(64, 8000, chroma.low, chroma.high)
-    frames = np.lib.stride_tricks.sliding_window_view(x, 64)[::16]
+    window, classes = media._tables(chroma.frame, 8000, chroma.low, chroma.high)
+    frames = np.lib.stride_tricks.sliding_window_view(x, chroma.frame)[:: chroma.hop]
     folded = np.abs(np.fft.rfft((frames - frames.mean(1, keepdims=True)) * window)) ** 2 @ classes
     folded = folded / np.sqrt((folded**2).sum(1, keepdims=True))
     kind, y, h, x0, w = media.FILTERS[1]

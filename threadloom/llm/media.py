@@ -6,10 +6,9 @@ bits each: a packed 32-bit integer per frame. A recording is aligned with refere
 recordings through equal integers: their frame differences form an offset histogram for
 each reference, and the best offsets are verified by bit errors over the whole overlap.
 
-Fingerprinting and alignment are one Arrow map without a shuffle. References are indexed
-at several sub-frame shifts; they are read in passes of at most ``PASS_BYTES`` of media, so
-that what is broadcast stays small however many there are. Results of passes are reduced
-by a partial aggregate.
+Fingerprinting is an Arrow map over recordings and over references, which are indexed at
+several sub-frame shifts. Its results are stored; alignment is a join on the integers, a
+count by offset, and a second join that brings the bits of voted pairs together.
 """
 
 from __future__ import annotations
@@ -26,10 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threadloom.llm.common import table
-
-#: Bytes of reference media in a pass.
-PASS_BYTES = 4_000_000
+from threadloom.llm.common import stored, table
 
 
 @dataclass(frozen=True)
@@ -129,97 +125,93 @@ def integers(x: np.ndarray, rate: int, chroma: Chroma) -> tuple[np.ndarray, np.n
     return out, (loud[:, 0] > 1e-6)[:n]
 
 
-class References:
-    """Reference recordings by their integers, at every shift."""
-
-    def __init__(self, media: list[tuple], chroma: Chroma):
-        self.keys, own, frame, value, self.lengths = [], [], [], [], []
-        for key, data in media:
-            decoded = samples(data)
-            for shift in range(chroma.shifts if decoded else 0):
-                x = decoded[0][shift * chroma.hop // chroma.shifts :]
-                if len(x) < chroma.shortest():
-                    continue
-                ints, heard = integers(x, decoded[1], chroma)
-                own.append(np.full(heard.sum(), len(self.keys)))
-                frame.append(np.flatnonzero(heard))
-                value.append(ints[heard])
-                self.keys.append(key)
-                self.lengths.append(ints)
-        join = lambda x, kind: np.concatenate(x).astype(kind) if x else np.empty(0, kind)
-        value, own, frame = join(value, np.uint32), join(own, np.int64), join(frame, np.int64)
-        order = np.argsort(value, kind="stable")
-        self.value, self.own, self.frame = value[order], own[order], frame[order]
-
-    def align(self, ints: np.ndarray, heard: np.ndarray, chroma: Chroma) -> tuple | None:
-        """(key, offset in frames, votes, share of wrong bits) of the best alignment, or None."""
-        low, high = np.searchsorted(self.value, ints, "left"), np.searchsorted(self.value, ints, "right")
-        n = np.where(heard, high - low, 0)
-        if not n.any():
-            return None
-        at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        place = np.repeat(np.arange(len(ints)), n)
-        pairs, votes = np.unique(np.column_stack((self.own[at], place - self.frame[at])), axis=0, return_counts=True)
-        best = None
-        for i in np.flatnonzero(votes >= chroma.votes):
-            own, offset = pairs[i].tolist()
-            reference = self.lengths[own]
-            a, b = max(0, offset), min(len(ints), offset + len(reference))
-            wrong = int(np.bitwise_count(ints[a:b] ^ reference[a - offset : b - offset]).sum()) / (32 * (b - a))
-            found = (wrong, -int(votes[i]), self.keys[own], offset)
-            if wrong <= chroma.errors and (best is None or found < best):
-                best = found
-        return (best[2], best[3], -best[1], best[0]) if best else None
+def fingerprints(df: DataFrame, chroma: Chroma, id_col: str, media_col: str, shifts: int = 1) -> DataFrame:
+    """(id, shift, n_frames, crc32, ints, heard) for each row and sub-frame shift.
+
+    Later shifts of media too short for a whole integer have none; at shift 0 it is padded.
+    """
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, shift, found = [], [], []
+            for row, data in enumerate(batch.column(1)):
+                decoded = samples(data.as_py())
+                for s in range(shifts):
+                    x = decoded[0][s * chroma.hop // chroma.shifts :] if decoded else np.empty(0, np.float32)
+                    if s and len(x) < chroma.shortest():
+                        break
+                    at.append(row)
+                    shift.append(s)
+                    found.append(integers(x, decoded[1] if decoded else 1, chroma))
+            ends = np.cumsum([0] + [len(i) for i, _ in found]).astype(np.int32)
+            flat = lambda k, kind: np.concatenate([f[k] for f in found] or [np.empty(0, kind)])  # noqa: E731, B023
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).take(pa.array(at, pa.int64())), pa.array(shift, pa.int32()), pa.array([len(i) for i, _ in found], pa.int64()),
+                    pa.array([zlib.crc32(i.astype("<u4").tobytes()) for i, _ in found], pa.int64()),
+                    pa.ListArray.from_arrays(ends, pa.array(flat(0, np.uint32).view(np.int32))), pa.ListArray.from_arrays(ends, pa.array(flat(1, bool))),
+                ],
+                ["id", "shift", "n_frames", "crc32", "ints", "heard"],
+            )
+
+    schema = T.StructType([T.StructField("id", df.schema[id_col].dataType)])
+    for name, kind in (("shift", "int"), ("n_frames", "long"), ("crc32", "long"), ("ints", "array<int>"), ("heard", "array<boolean>")):
+        schema.add(name, T.DataType.fromDDL(kind))
+    return df.select(F.col(id_col).alias("id"), F.col(media_col).alias("media")).mapInArrow(each, schema)
+
+
+def heard_frames(prints: DataFrame, row: str, at: str) -> DataFrame:
+    """(row, at, value): each integer that hears anything, and its frame."""
+    pairs = F.filter(F.arrays_zip("ints", "heard", F.sequence(F.lit(0), F.size("ints") - 1).alias("at")), lambda x: x["heard"])
+    own = prints.filter("n_frames > 0").select(F.col("_row").alias(row), F.explode(pairs).alias("x"))
+    return own.select(row, F.col("x.at").alias(at), F.col("x.ints").alias("value"))
+
+
+def alignments(recordings: DataFrame, references: DataFrame, chroma: Chroma) -> DataFrame:
+    """(row, match): every reference that a recording aligns with, as struct(errors, votes, id, offset) of its best alignment.
+
+    Both are stored fingerprints with a _row. Spark broadcasts the references' integers if the
+    stored table is small enough for that; else both sides are exchanged by integer, where a
+    value that many frames share is split by the skew join, and pairs are counted before they
+    are exchanged by (recording, reference, offset).
+    """
+    known = heard_frames(references, "_ref", "_from")
+    offset = (F.col("_at") - F.col("_from")).alias("offset")
+    voted = heard_frames(recordings, "_rec", "_at").join(known, "value").groupBy("_rec", "_ref", offset).agg(F.count(F.lit(1)).alias("votes")).filter(F.col("votes") >= chroma.votes)
+    mine = recordings.select(F.col("_row").alias("_rec"), F.col("ints").alias("_a"))
+    theirs = references.select(F.col("_row").alias("_ref"), F.col("id").alias("_key"), F.col("ints").alias("_b"))
+    both = voted.join(theirs, "_ref").join(mine, "_rec")
+    first = F.greatest(F.lit(0), F.col("offset"))
+    long = F.least(F.size("_a"), F.col("offset") + F.size("_b")) - first
+    bits = lambda x, y: F.bit_count(x.cast("long").bitwiseXOR(y.cast("long")).bitwiseAND(F.lit(0xFFFFFFFF)))
+    wrong = F.aggregate(F.zip_with(F.slice("_a", first + 1, long), F.slice("_b", first - F.col("offset") + 1, long), bits), F.lit(0).cast("long"), lambda s, x: s + x)
+    checked = both.select("_rec", "_key", "offset", "votes", (wrong / (32 * long)).alias("errors")).filter(F.col("errors") <= chroma.errors)
+    best = F.min(F.struct("errors", (-F.col("votes")).alias("_votes"), F.col("offset").cast("long").alias("offset")))
+    each = checked.groupBy("_rec", "_key").agg(best.alias("m"))
+    return each.select(F.col("_rec").alias("_row"), F.struct(F.col("m.errors").alias("errors"), F.col("m._votes").alias("_votes"), F.col("_key").alias("id"), F.col("m.offset").alias("offset")).alias("match"))
 
 
 def fingerprint_and_align(df: DataFrame, references: DataFrame, chroma: Chroma, id_col: str = "id", media_col: str = "media") -> DataFrame:
-    """Per row of df: id, n_frames, fingerprint_crc32, match_id, match_offset, match_votes, match_errors.
-
-    A null, empty or undecodable recording has no frames and no match; a shorter one than an
-    integer's run is padded with silence. References are (id, media) with ids of one type;
-    null ids and undecodable media among them can't be matched. Repeated rows are treated
-    alike. Ties go to fewer wrong bits, more votes, the smaller reference. A recording of any
-    length is heard whole; a reference shorter than an integer's run can't be matched. Other
-    columns are ignored, whatever their names; an empty table gives no rows.
+    """Per row of df: id, n_frames, fingerprint_crc32, match_id, match_offset, match_votes, match_errors, matches.
+
+    ``matches`` holds every reference that verifies as (errors, votes, id, offset), best
+    first; the match_ columns are the first of them. A null, empty or undecodable recording
+    has no frames and no match; a shorter one than an integer's run is padded with silence.
+    References are (id, media); null ids and undecodable media among them can't be matched.
+    Repeated rows are treated alike. Ties go to fewer wrong bits, more votes, the smaller
+    reference, the smaller offset. A recording of any length is heard whole; a reference with
+    fewer integers than ``votes`` can't be matched. Other columns are ignored, whatever
+    their names; an empty table gives no rows.
     """
-    kind, ref_kind = df.schema[id_col].dataType, references.schema[id_col].dataType
-    fields = [T.StructField("id", kind), T.StructField("n_frames", T.LongType()), T.StructField("fingerprint_crc32", T.LongType()), T.StructField("match_id", ref_kind), T.StructField("match_offset", T.LongType()), T.StructField("match_votes", T.LongType()), T.StructField("match_errors", T.DoubleType())]
-    schema = T.StructType(fields)
-    passes: list[list[tuple]] = [[]]
-    size = 0
-    for r in references.filter(F.col(id_col).isNotNull() & F.col(media_col).isNotNull()).select(id_col, media_col).orderBy(id_col).toLocalIterator():
-        if size and size + len(r[1]) > PASS_BYTES:
-            passes.append([])
-            size = 0
-        passes[-1].append((r[0], bytes(r[1])))
-        size += len(r[1])
-
-    def one(media: list[tuple]) -> DataFrame:
-        index = df.sparkSession.sparkContext.broadcast(References(media, chroma))
-
-        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = index.value
-            for batch in batches:
-                rows = []
-                for data in batch.column(1):
-                    decoded = samples(data.as_py())
-                    ints, heard = integers(*decoded, chroma) if decoded else (np.empty(0, np.uint32), np.empty(0, bool))
-                    rows.append((len(ints), zlib.crc32(ints.astype("<u4").tobytes()), *(known.align(ints, heard, chroma) or (None,) * 4)))
-                columns = list(zip(*rows, strict=True)) if rows else [()] * 6
-                kinds = (pa.int64(), pa.int64(), None, pa.int64(), pa.int64(), pa.float64())
-                types = [k or pa.from_numpy_dtype(np.int64) if not isinstance(ref_kind, T.StringType) else k or pa.string() for k in kinds]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], schema.names)
-
-        return df.select(F.col(id_col).alias("id"), F.col(media_col).alias("media")).mapInArrow(each, schema)
-
-    if len(passes) == 1:
-        return one(passes[0])
-    all_passes = one(passes[0])
-    for media in passes[1:]:
-        all_passes = all_passes.unionAll(one(media))
-    match = F.when(F.col("match_id").isNotNull(), F.struct("match_errors", -F.col("match_votes"), "match_id", "match_offset", "match_votes"))
-    best = all_passes.groupBy("id", "n_frames", "fingerprint_crc32").agg(F.min(match).alias("m"), F.count(F.lit(1)).alias("_n"))
-    return best.withColumn("_copy", F.explode(F.sequence(F.lit(1), (F.col("_n") / len(passes)).cast("int")))).select("id", "n_frames", "fingerprint_crc32", "m.match_id", "m.match_offset", "m.match_votes", "m.match_errors")
+    numbered = lambda x: x.withColumn("_row", F.monotonically_increasing_id())
+    known = references.filter(F.col(id_col).isNotNull())
+    prints = stored(numbered(fingerprints(df, chroma, id_col, media_col)), "prints")
+    against = stored(numbered(fingerprints(known, chroma, id_col, media_col, chroma.shifts)), "references")
+    grouped = alignments(prints, against, chroma).groupBy("_row").agg(F.sort_array(F.collect_list("match")).alias("_found"))
+    found = F.coalesce(F.transform("_found", lambda m: F.struct(m["errors"].alias("errors"), (-m["_votes"]).alias("votes"), m["id"].alias("id"), m["offset"].alias("offset"))), F.array())
+    out = prints.select("_row", "id", "n_frames", F.col("crc32").alias("fingerprint_crc32")).join(grouped, "_row", "left").withColumn("matches", found)
+    first = F.try_element_at("matches", F.lit(1))
+    return out.select("id", "n_frames", "fingerprint_crc32", *(first[c].alias(f"match_{c}") for c in ("id", "offset", "votes", "errors")), "matches")
 
 
 def wav(data: Column, rate: int) -> Column:
@@ -235,7 +227,7 @@ def wav(data: Column, rate: int) -> Column:
 
 
 #: The tables hold no media: a text's bytes are heard as 8-bit samples at 8,000 Hz. Frames are small, as texts are short.
-TEXT = Chroma(frame=64, hop=16, low=100.0, high=4000.0, shifts=8, votes=2, errors=0.2)
+TEXT = Chroma(frame=32, hop=8, low=100.0, high=4000.0, shifts=8, votes=2, errors=0.2)
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
