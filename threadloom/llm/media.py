@@ -38,8 +38,9 @@ class Chroma:
     high: float = 3520.0
     #: Sub-frame shifts at which references are indexed.
     shifts: int = 1
-    #: A match has this many equal integers and at most this share of wrong bits.
+    #: A match has this many equal integers, so many for each frame that overlaps, and at most this share of wrong bits.
     votes: int = 2
+    share: float = 0.0
     errors: float = 0.25
 
     def shortest(self) -> int:
@@ -185,7 +186,7 @@ def alignments(recordings: DataFrame, references: DataFrame, chroma: Chroma) ->
     long = F.least(F.size("_a"), F.col("offset") + F.size("_b")) - first
     bits = lambda x, y: F.bit_count(x.cast("long").bitwiseXOR(y.cast("long")).bitwiseAND(F.lit(0xFFFFFFFF)))
     wrong = F.aggregate(F.zip_with(F.slice("_a", first + 1, long), F.slice("_b", first - F.col("offset") + 1, long), bits), F.lit(0).cast("long"), lambda s, x: s + x)
-    checked = both.select("_rec", "_key", "offset", "votes", (wrong / (32 * long)).alias("errors")).filter(F.col("errors") <= chroma.errors)
+    checked = both.select("_rec", "_key", "offset", "votes", long.alias("_long"), (wrong / (32 * long)).alias("errors")).filter((F.col("errors") <= chroma.errors) & (F.col("votes") >= chroma.share * F.col("_long")))
     best = F.min(F.struct("errors", (-F.col("votes")).alias("_votes"), F.col("offset").cast("long").alias("offset")))
     each = checked.groupBy("_rec", "_key").agg(best.alias("m"))
     return each.select(F.col("_rec").alias("_row"), F.struct(F.col("m.errors").alias("errors"), F.col("m._votes").alias("_votes"), F.col("_key").alias("id"), F.col("m.offset").alias("offset")).alias("match"))
@@ -226,8 +227,9 @@ def wav(data: Column, rate: int) -> Column:
     return F.concat(raw(b"RIFF"), number(long + 36), raw(b"WAVE" + form + b"data"), number(long), data)
 
 
-#: The tables hold no media: a text's bytes are heard as 8-bit samples at 8,000 Hz. Frames are small, as texts are short.
-TEXT = Chroma(frame=32, hop=8, low=100.0, high=4000.0, shifts=8, votes=2, errors=0.2)
+#: The tables hold no media: a text's bytes are heard as 8-bit samples at 8,000 Hz. Frames are small, as texts are
+#: short. References are indexed at every sample, so what a document repeats gives equal integers: half of them must be.
+TEXT = Chroma(frame=32, hop=8, low=100.0, high=4000.0, shifts=8, votes=2, share=0.5, errors=0.2)
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
