@@ -38,7 +38,9 @@ class Chroma:
     high: float = 3520.0
     #: Sub-frame shifts at which references are indexed.
     shifts: int = 1
-    #: A match has this many equal integers, so many for each frame that overlaps, and at most this share of wrong bits.
+    #: A vote is an integer that is equal, or with two also the next one: for recordings whose integers tell little apart.
+    run: int = 1
+    #: A match has this many votes, so many for each frame that overlaps, and at most this share of wrong bits.
     votes: int = 2
     share: float = 0.0
     errors: float = 0.25
@@ -161,11 +163,19 @@ def fingerprints(df: DataFrame, chroma: Chroma, id_col: str, media_col: str, shi
     return df.select(F.col(id_col).alias("id"), F.col(media_col).alias("media")).mapInArrow(each, schema)
 
 
-def heard_frames(prints: DataFrame, row: str, at: str) -> DataFrame:
-    """(row, at, value): each integer that hears anything, and its frame."""
-    pairs = F.filter(F.arrays_zip("ints", "heard", F.sequence(F.lit(0), F.size("ints") - 1).alias("at")), lambda x: x["heard"])
+def heard_frames(prints: DataFrame, row: str, at: str, run: int) -> DataFrame:
+    """(row, at, value): each integer that hears anything (with its next one, if run is 2), and its frame."""
+    if run not in (1, 2):
+        raise ValueError("a vote is one integer or two")
+    places = F.sequence(F.lit(0), F.size("ints") - 1)
+    later = F.slice("ints", 2, F.size("ints")), F.slice("heard", 2, F.size("heard"))
+    frames = F.arrays_zip(F.col("ints").alias("a"), F.col("heard").alias("b"), later[0].alias("c"), later[1].alias("d"), places.alias("at"))
+    pairs = F.filter(frames, lambda x: x["b"] & x["d"] if run == 2 else x["b"])
     own = prints.filter("n_frames > 0").select(F.col("_row").alias(row), F.explode(pairs).alias("x"))
-    return own.select(row, F.col("x.at").alias(at), F.col("x.ints").alias("value"))
+    value = F.col("x.a").cast("long")
+    if run == 2:
+        value = F.shiftleft(value, 32).bitwiseOR(F.col("x.c").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
+    return own.select(row, F.col("x.at").alias(at), value.alias("value"))
 
 
 def alignments(recordings: DataFrame, references: DataFrame, chroma: Chroma) -> DataFrame:
@@ -174,11 +184,13 @@ def alignments(recordings: DataFrame, references: DataFrame, chroma: Chroma) ->
     Both are stored fingerprints with a _row. Spark broadcasts the references' integers if the
     stored table is small enough for that; else both sides are exchanged by integer, where a
     value that many frames share is split by the skew join, and pairs are counted before they
-    are exchanged by (recording, reference, offset).
+    are exchanged by (recording, reference, offset). What has votes enough is stored too, so
+    that Spark knows its size before it brings the bits to it.
     """
-    known = heard_frames(references, "_ref", "_from")
+    known = heard_frames(references, "_ref", "_from", chroma.run)
     offset = (F.col("_at") - F.col("_from")).alias("offset")
-    voted = heard_frames(recordings, "_rec", "_at").join(known, "value").groupBy("_rec", "_ref", offset).agg(F.count(F.lit(1)).alias("votes")).filter(F.col("votes") >= chroma.votes)
+    counted = heard_frames(recordings, "_rec", "_at", chroma.run).join(known, "value").groupBy("_rec", "_ref", offset).agg(F.count(F.lit(1)).alias("votes"))
+    voted = stored(counted.filter(F.col("votes") >= chroma.votes), "voted")
     mine = recordings.select(F.col("_row").alias("_rec"), F.col("ints").alias("_a"))
     theirs = references.select(F.col("_row").alias("_ref"), F.col("id").alias("_key"), F.col("ints").alias("_b"))
     both = voted.join(theirs, "_ref").join(mine, "_rec")
@@ -201,7 +213,7 @@ def fingerprint_and_align(df: DataFrame, references: DataFrame, chroma: Chroma,
     References are (id, media); null ids and undecodable media among them can't be matched.
     Repeated rows are treated alike. Ties go to fewer wrong bits, more votes, the smaller
     reference, the smaller offset. A recording of any length is heard whole; a reference with
-    fewer integers than ``votes`` can't be matched. Other columns are ignored, whatever
+    fewer votes to give than a match needs can't be matched. Other columns are ignored, whatever
     their names; an empty table gives no rows.
     """
     numbered = lambda x: x.withColumn("_row", F.monotonically_increasing_id())
@@ -229,7 +241,7 @@ def wav(data: Column, rate: int) -> Column:
 
 #: The tables hold no media: a text's bytes are heard as 8-bit samples at 8,000 Hz. Frames are small, as texts are
 #: short. References are indexed at every sample, so what a document repeats gives equal integers: half of them must be.
-TEXT = Chroma(frame=32, hop=8, low=100.0, high=4000.0, shifts=8, votes=2, share=0.5, errors=0.2)
+TEXT = Chroma(frame=32, hop=8, low=100.0, high=4000.0, shifts=8, run=2, votes=1, share=0.5, errors=0.2)
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
