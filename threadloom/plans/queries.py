@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions import decisions, rules, text
-from threadloom.operators import changes, history, render, tree, updates
+from threadloom.operators import changes, entries, history, render, tree, updates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -501,3 +501,30 @@ WITH n AS (SELECT page_id, len(regexp_extract_all(html, '[{\[]')) <> len(regexp_
 SELECT page_id, concat_ws(',', CASE WHEN b THEN 'brackets' END, CASE WHEN s THEN 'single quotes' END, CASE WHEN d THEN 'double quotes' END) AS issues FROM n""")
 def q45_syntax(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select("page_id", F.array_join(decisions.syntax_issues(F.col("html"), F.lit("a.js")), ",").alias("issues"))
+
+
+def as_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation as a dialect C session: a header line, then its turns as message lines; every seventh has a text as its time."""
+    turns = read(spark, sf_dir, "conversations").withColumn("path", F.col("conv_id").cast("string"))
+    at = F.when(F.col("turn") % 7 == 3, F.to_json(F.struct(F.lit("t").alias("timestamp")))).otherwise(F.to_json(F.struct(F.col("turn").alias("timestamp"))))
+    user = F.to_json(F.struct(F.lit("user").alias("role"), F.col("text").alias("content")))
+    other = F.to_json(F.struct(F.lit("bashExecution").alias("role"), F.col("role").alias("command"), F.col("text").alias("output"), F.lit(False).alias("cancelled"), F.lit(False).alias("truncated")))
+    message = F.concat(F.expr("substring(_said, 1, length(_said) - 1)"), F.lit(","), F.substr(at, F.lit(2)))
+    own = turns.withColumn("_said", F.when(F.col("role") == "user", user).otherwise(other))
+    head = F.to_json(F.struct(F.lit("message").alias("type"), F.concat_ws(":", "path", "turn").alias("id"), F.lit("t").alias("timestamp")))
+    value = F.concat(F.expr("substring(_head, 1, length(_head) - 1)"), F.lit(',"parentId":null,"message":'), message, F.lit("}"))
+    lines = own.withColumn("_head", head).select("path", (F.col("turn") + 2).cast("long").alias("line_number"), value.alias("value"))
+    header = turns.select("path").distinct().select("path", F.lit(1).cast("long").alias("line_number"), F.to_json(F.struct(F.lit("session").alias("type"), F.lit(3).alias("version"), F.col("path").alias("id"), F.lit("t").alias("timestamp"), F.lit("/a").alias("cwd"))).alias("value"))
+    return entries.parsed(header.unionAll(lines).withColumn("status", F.lit("ok")))
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) AS path, CAST(turn + 2 AS BIGINT) AS line_number, conv_id || ':' || turn AS id, CASE WHEN role = 'user' THEN 'user' ELSE 'bashExecution' END AS role, text FROM conversations WHERE text IS NOT NULL AND turn % 7 <> 3")
+def q46_entry_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entries.blocks(as_entries(spark, sf_dir)).select("path", "line_number", "id", "role", F.get_json_object("content", "$[0].text").alias("text"))
+
+
+@query("""
+SELECT CAST(conv_id AS VARCHAR) AS id, count(*) FILTER (text IS NOT NULL AND turn % 7 <> 3) AS message_count, arg_min(text, turn) FILTER (role = 'user' AND text IS NOT NULL AND turn % 7 <> 3) AS first_message,
+  CASE WHEN bool_or(text IS NULL OR turn % 7 = 3) THEN 'invalid_entry' END AS error FROM conversations GROUP BY conv_id""")
+def q47_entry_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entries.listing(as_entries(spark, sf_dir), "/a").select("id", "message_count", "first_message", "error")
