@@ -85,33 +85,44 @@ def messages(lines: DataFrame, config: Denoise = Denoise()) -> DataFrame:
     return out.filter((F.col("text") != "") | (F.size("tool_calls") > 0) | (F.size("errors") > 0) | (F.size("tool_results") > 0))
 
 
-def blocks(lines: DataFrame, sidechains: bool = False, tool_results: bool = True) -> DataFrame:
-    """Typed content blocks with stable ids: uuid and the place in the unfiltered content."""
+def contents(lines: DataFrame, sidechains: bool = False) -> DataFrame:
+    """A row for each block of a spoken line: i, its place in the unfiltered content, b, and the tool use that it is of."""
     h = F.col("h")
     own = lines.filter(h["type"].isin("user", "assistant") & h["message"].isNotNull())
     if not sidechains:
         own = own.filter((F.col("source_kind") == "subagent") | ~F.coalesce(h["isSidechain"], F.lit(False)))
     content = h["message"]["content"]
     plain = F.array(F.from_json(F.lit("{}"), BLOCK[len("array<") : -1]).withField("type", F.lit("text")).withField("text", content))
-    each = own.select("session_id", "source_kind", "source_id", "ord", "h", F.posexplode(F.coalesce(content_blocks(content), plain)).alias("i", "b")).withColumn("tool_use_id", F.when(F.col("b.type") == "tool_use", F.col("b.id")).otherwise(F.col("b.tool_use_id")))
-    each = each.join(tool_names(lines), ["session_id", "source_id", "tool_use_id"], "left")
+    each = own.select("*", F.posexplode(F.coalesce(content_blocks(content), plain)).alias("i", "b"))
+    return each.withColumn("tool_use_id", F.when(F.col("b.type") == "tool_use", F.col("b.id")).otherwise(F.col("b.tool_use_id")))
+
+
+def blocks(lines: DataFrame, sidechains: bool = False, tool_results: bool = True) -> DataFrame:
+    """Typed content blocks with stable ids: uuid and the place in the unfiltered content."""
+    each = contents(lines.select("session_id", "source_kind", "source_id", "ord", "h"), sidechains)
+    return typed(each.join(tool_names(lines), ["session_id", "source_id", "tool_use_id"], "left"), tool_results)
+
+
+def typed(each: DataFrame, tool_results: bool = True, also: tuple[str, ...] = ()) -> DataFrame:
+    """Blocks of ``contents`` whose tool_name is known, and other columns of theirs."""
+    h = F.col("h")
     b, role, kind = F.col("b"), F.col("h.message.role"), F.col("b.type")
     each = each.withColumn("_kept", F.when(kind == "tool_result", retained(result_text(b["content"]))))
     kept = F.col("_kept")
     says = F.when(role == "user", "user_text").otherwise("assistant_text")
-    typed = each.select(
+    out = each.select(
         F.concat(h["uuid"], F.lit(":"), F.col("i").cast("string")).alias("id"), F.when(kind.isin("text", "image"), says).otherwise(kind).alias("type"), "session_id", h["timestamp"].alias("timestamp"), h["uuid"].alias("message_uuid"), h["parentUuid"].alias("parent_uuid"),
         F.when(F.col("source_kind") == "subagent", F.col("source_id")).alias("subagent_id"), F.when(h["isSidechain"], True).alias("is_sidechain"),
         F.when(kind == "text", b["text"]).when(kind == "image", image_placeholder(b["source"])).when(kind == "thinking", b["thinking"]).when(kind == "tool_result", kept["content"]).alias("content"),
         F.when(kind.isin("tool_use", "tool_result"), F.col("tool_use_id")).alias("tool_use_id"), F.when(kind == "tool_use", b["name"]).when(kind == "tool_result", F.col("tool_name")).alias("tool_name"),
         F.when(kind == "tool_use", tool_summary(b["name"], b["input"])).alias("summary"), F.when(kind == "tool_use", b["input"]).alias("input"),
         F.when(kind == "tool_result", kept["truncated"]).alias("truncated"), F.when((kind == "tool_result") & kept["truncated"], kept["original_line_count"]).alias("original_line_count"),
-        F.when(kind == "tool_result", F.coalesce(b["is_error"], F.lit(False))).alias("is_error"), F.struct(F.when(F.col("source_kind") == "main", 0).otherwise(1).alias("sub"), "source_id", "ord", "i").alias("emit_seq"),
+        F.when(kind == "tool_result", F.coalesce(b["is_error"], F.lit(False))).alias("is_error"), F.struct(F.when(F.col("source_kind") == "main", 0).otherwise(1).alias("sub"), "source_id", "ord", "i").alias("emit_seq"), *also,
     )
     blank = F.coalesce(trimmed(F.col("content")), F.lit("")) == ""
     spoken = F.col("type").isin("user_text", "assistant_text")
     keep = F.when(spoken, ~blank & ~is_noise(F.col("content"))).when(F.col("type") == "thinking", ~blank).when(F.col("type") == "tool_result", F.lit(tool_results) & (~blank | F.col("is_error"))).otherwise(F.col("type") == "tool_use")
-    return typed.filter(keep)
+    return out.filter(keep)
 
 
 def boundaries(lines: DataFrame) -> DataFrame:
