@@ -33,3 +33,17 @@ def mutation(old: DataFrame, new: DataFrame) -> DataFrame:
     found = both.groupBy("session_id").agg(F.min(F.when(differs, F.col("place"))).alias("index"), F.count("_old").alias("_n_old"), F.count("_new").alias("_n_new"), F.array_sort(F.collect_list(F.when(F.col("_old").isNotNull(), F.struct("place", "_old")))).alias("_keys"))
     gone = F.transform(F.filter("_keys", lambda x: x["place"] >= F.col("index")), lambda x: x["_old"])
     return found.filter("index is not null").select("session_id", F.col("index").cast("long").alias("index"), (F.col("_n_old") - F.col("index")).cast("long").alias("delete_count"), (F.col("_n_new") - F.col("index")).cast("long").alias("insert_count"), gone.alias("removed_keys"))
+
+
+def block_changes(old: DataFrame, new: DataFrame, blocks: DataFrame) -> DataFrame:
+    """What a splice does to blocks: the columns of ``blocks`` with op and change_ord, deletes of removed keys first, then upserts of what comes.
+
+    old, new: (session_id, place from 0, key) as for ``mutation``; blocks: (session_id, key,
+    part, ...), a row for each block of a key. A key that moved is deleted and comes again.
+    """
+    splice = mutation(old, new)
+    gone = splice.select("session_id", F.lit("delete").alias("op"), F.posexplode("removed_keys").alias("_at", "key"))
+    come = new.join(splice.select("session_id", "index"), "session_id").filter("place >= index").select("session_id", F.lit("upsert").alias("op"), F.col("place").alias("_at"), "key")
+    order = F.struct(F.col("op") == "upsert", F.col("_at").cast("long"), "part")
+    told = gone.unionByName(come).join(blocks, ["session_id", "key"])
+    return told.withColumn("change_ord", F.row_number().over(Window.partitionBy("session_id").orderBy(order))).select(*blocks.columns, "op", "change_ord")

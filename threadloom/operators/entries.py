@@ -99,11 +99,12 @@ def files(entries: DataFrame) -> DataFrame:
     return told.select("path", "session_id", (F.col("session_id").isNotNull() & F.col("_bad").isNull()).alias("successful"), F.coalesce(F.col("_bad") == F.col("_last"), F.lit(False)).alias("terminal_malformed"))
 
 
-def blocks(entries: DataFrame) -> DataFrame:
+def blocks(entries: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
     """(path, line_number, place, id, type, role, entry_id, parent_id, entry_type, content, payload, usage, is_error, custom_type).
 
     A message with several content items is a block for each, with its place in the id; with
     one or none it is one block. content is a JSON array; other entries are metadata with their payload as JSON.
+    also: more columns of the entries.
     """
     at = lambda path: F.get_json_object("value", path)
     own = entries.filter(F.col("entry_kind").isin("known", "unknown") & (F.col("tag") != "session"))
@@ -125,7 +126,7 @@ def blocks(entries: DataFrame) -> DataFrame:
         "path", "line_number", "place", F.when(F.size("_items") > 1, F.concat("id", F.lit(":"), F.col("place").cast("string"))).otherwise(F.col("id")).alias("id"),
         F.when(m, "message").otherwise("metadata").alias("type"), F.when(m, role).otherwise("metadata").alias("role"), F.col("id").alias("entry_id"), "parent_id", F.col("tag").alias("entry_type"),
         F.when(m, F.concat(F.lit("["), F.array_join("_own", ","), F.lit("]"))).alias("content"), payload.alias("payload"), usage.alias("usage"), F.when(m, error).alias("is_error"),
-        F.when(F.col("tag").isin("custom", "custom_message"), at("$.customType")).alias("custom_type"),
+        F.when(F.col("tag").isin("custom", "custom_message"), at("$.customType")).alias("custom_type"), *also,
     )
 
 
