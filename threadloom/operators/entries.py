@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadloom.functions import shape
 from threadloom.functions.text import trimmed
 
 # Each tag's required fields besides id, parentId and timestamp, and their kinds.
@@ -18,7 +19,7 @@ FIELDS = {
     "compaction": {"summary": "string", "tokensBefore": "number"},
     "branch_summary": {"fromId": "string", "summary": "string"},
     "custom": {"customType": "string"},
-    "custom_message": {"customType": "string", "content": "text", "display": "boolean"},
+    "custom_message": {"customType": "string", "content": "string|array", "display": "boolean"},
     "label": {"targetId": "string", "label": "string"},
     "session_info": {"name": "string"},
 }
@@ -29,14 +30,28 @@ OPTIONAL = {
 }
 # A message's required fields by role; all have a numeric timestamp.
 ROLES = {
-    "user": {"content": "text"},
+    "user": {"content": "string|array"},
     "assistant": {"content": "array", "api": "string", "provider": "string", "model": "string", "usage": "object", "stopReason": "string"},
     "toolResult": {"toolCallId": "string", "toolName": "string", "content": "array", "isError": "boolean"},
     "bashExecution": {"command": "string", "output": "string", "cancelled": "boolean", "truncated": "boolean"},
-    "custom": {"customType": "string", "content": "text", "display": "boolean"},
+    "custom": {"customType": "string", "content": "string|array", "display": "boolean"},
     "branchSummary": {"summary": "string", "fromId": "string"},
     "compactionSummary": {"summary": "string", "tokensBefore": "number"},
 }
+# A message's fields that may be absent.
+ROLE_OPTIONAL = {
+    "assistant": {"errorMessage": "string"},
+    "toolResult": {"usage": "object"},
+    "bashExecution": {"exitCode": "number", "fullOutputPath": "string", "excludeFromContext": "boolean"},
+}
+# What an assistant's message can stop for, and what usage counts.
+STOPS = ("stop", "length", "toolUse", "error", "aborted")
+USAGE = {"input": "number", "output": "number", "cacheRead": "number", "cacheWrite": "number", "totalTokens": "number", "cost": "object"}
+COST = {"input": "number", "output": "number", "cacheRead": "number", "cacheWrite": "number", "total": "number"}
+# The items of contents, of what people and tools say, and of what an assistant says.
+ITEMS = {"text": {"text": "string"}, "image": {"data": "string", "mimeType": "string"}}
+OWN_ITEMS = {"text": {"text": "string"}, "thinking": {"thinking": "string"}, "toolCall": {"id": "string", "name": "string", "arguments": "object"}}
+OWN_OPTIONAL = {"thinking": {"startedAt": "number", "endedAt": "number"}}
 # The payload of each metadata tag.
 PAYLOADS = {
     "model_change": ("provider", "modelId"),
@@ -47,48 +62,69 @@ PAYLOADS = {
     "label": ("targetId", "label"),
     "session_info": ("name",),
 }
-KINDS = {"string": "STRING", "boolean": "BOOLEAN", "number": "BIGINT|DOUBLE|FLOAT|DECIMAL.*", "object": "OBJECT.*", "array": "ARRAY.*", "text": "STRING|ARRAY.*", "string or null": "STRING|VOID"}
+BASE = {"id": "string", "timestamp": "string", "parentId": "string|null"}
+HEADER = {"version": "number", "id": "string", "timestamp": "string", "cwd": "string"}
+#: Objects whose fields are told, of an entry and of a message.
+OBJECTS, MESSAGE_OBJECTS = ("", "usage", "usage.cost"), ("", "usage", "usage.cost")
+
+
+def _rules_of_entries() -> dict[str, shape.Rules]:
+    used = {"usage": USAGE, "usage.cost": COST}
+    own = {tag: shape.rules({"": BASE | named, **(used if "usage" in OPTIONAL.get(tag, {}) else {})}, {"": OPTIONAL.get(tag, {})}) for tag, named in FIELDS.items()}
+    return own | {"session": shape.rules({"": HEADER}, {"": {"parentSession": "string"}})}
+
+
+def _rules_of_messages() -> dict[str, shape.Rules]:
+    used = {"usage": USAGE, "usage.cost": COST}
+    spends = lambda role: "usage" in ROLES[role] or "usage" in ROLE_OPTIONAL.get(role, {})
+    return {role: shape.rules({"": named | {"timestamp": "number"}, **(used if spends(role) else {})}, {"": ROLE_OPTIONAL.get(role, {})}) for role, named in ROLES.items()}
+
+
+def _text(value: Column, path: str) -> Column:
+    """The string at a path of a variant; null if it is anything else."""
+    found = F.try_variant_get(value, path, "variant")
+    return F.when(shape.kind_of(found) == "string", F.try_variant_get(found, "$", "string"))
 
 
-def is_kind(json: Column, path: str, kind: str, absent: bool = False) -> Column:
-    """Whether what is at the path of a JSON value (a variant) is of that kind, or is absent if that may be."""
-    found = F.schema_of_variant(F.try_variant_get(json, path, "variant"))
-    return F.coalesce(found.rlike(f"^({KINDS[kind]})$"), F.lit(absent))
+def _contents_fit(message: Column, own: Column) -> Column:
+    """Whether the items of a list of contents are of known types with their fields; own: whether an assistant said it."""
+    items = F.try_variant_get(message, "$.content", "array<variant>")
+    return items.isNull() | F.when(own, shape.items_fit(items, OWN_ITEMS, OWN_OPTIONAL)).otherwise(shape.items_fit(items, ITEMS))
 
 
-def _fits(json: Column, fields: dict[str, str], at: str = "$", absent: bool = False) -> Column:
-    out = F.lit(True)
-    for name, kind in fields.items():
-        out = out & is_kind(json, f"{at}.{name}", kind, absent)
-    return out
+def message_fits(message: Column) -> Column:
+    """Whether a variant is a message of a known role, with its fields, items and usage."""
+    role = _text(message, "$.role")
+    wrong = shape.issues(shape.kinds(message, MESSAGE_OBJECTS), shape.lookup(_rules_of_messages(), role))
+    listed = role.isin("user", "custom", "toolResult", "assistant")
+    stops = (role != "assistant") | _text(message, "$.stopReason").isin(*STOPS)
+    return F.coalesce((F.size(wrong) == 0) & stops & (~listed | _contents_fit(message, role == "assistant")), F.lit(False))
 
 
 def parsed(lines: DataFrame) -> DataFrame:
-    """lines with entry_kind (known, unknown, invalid; null if not JSON), tag, id, parent_id, timestamp and a diagnostic.
+    """lines with entry_kind (known, unknown, invalid; null if not JSON), tag, id, parent_id, timestamp, issues and a diagnostic.
 
     A tag that isn't known needs the base fields only and stays in the tree; a known one
-    whose fields don't fit is invalid. Items of contents and of retained tails aren't looked
-    into. diagnostic: invalid_json, invalid_entry, oversized_line or null; blank lines have none.
+    whose fields don't fit is invalid, and so is a message with an item, a usage or a reason
+    to stop that isn't one, or a compaction that retains such a message. issues: code and
+    path of the entry's own fields. diagnostic: invalid_json, invalid_entry, oversized_line or
+    null; blank lines have none. A JSON object with a key twice is not JSON here.
     """
     v = F.col("_json")
-    text = lambda path: F.when(is_kind(v, path, "string"), F.try_variant_get(v, path, "string"))
     rows = lines.withColumn("_json", F.when(F.col("status") == "ok", F.try_parse_json("value")))
-    tag, role = text("$.type"), text("$.message.role")
-    base = _fits(v, {"id": "string", "timestamp": "string", "parentId": "string or null"})
-    header = _fits(v, {"version": "number", "id": "string", "timestamp": "string", "cwd": "string"}) & is_kind(v, "$.parentSession", "string", True)
-    fits, said = F.when(tag == "session", header), F.lit(False)
-    for name, fields in ROLES.items():
-        said = said | ((role == name) & _fits(v, fields, "$.message"))
-    for name, fields in FIELDS.items():
-        own = base & _fits(v, fields) & _fits(v, OPTIONAL.get(name, {}), absent=True)
-        if name == "message":
-            own = own & F.coalesce(said, F.lit(False)) & is_kind(v, "$.message.timestamp", "number")
-        fits = fits.when(tag == name, own)
+    rows = rows.withColumns({"tag": _text(v, "$.type"), "id": _text(v, "$.id"), "parent_id": _text(v, "$.parentId"), "timestamp": _text(v, "$.timestamp"), "_kinds": shape.kinds(v, OBJECTS)})
+    tag = F.col("tag")
     known = tag.isin("session", *FIELDS)
-    kind = F.when(v.isNull(), None).when(tag.isNull(), "invalid").when(~known, F.when(base, "unknown").otherwise("invalid")).when(fits, "known").otherwise("invalid")
+    own = F.when(known, shape.lookup(_rules_of_entries(), tag)).otherwise(shape.lookup({"": shape.rules({"": BASE})}, F.lit("")))
+    rows = rows.withColumn("issues", F.when(tag.isNotNull(), shape.issues(F.col("_kinds"), own)))
+    message = F.when(tag == "message", F.try_variant_get(v, "$.message", "variant"))
+    tail = F.when(tag == "compaction", F.try_variant_get(v, "$.retainedTail", "array<variant>"))
+    inner = F.when(tag == "message", message_fits(message)).when(tag == "custom_message", _contents_fit(v, F.lit(False))).when(tail.isNotNull(), F.forall(tail, message_fits)).otherwise(True)
+    fits = F.coalesce((F.size("issues") == 0) & inner, F.lit(False))
+    kind = F.when(v.isNull(), None).when(tag.isNull() | ~fits, "invalid").when(known, "known").otherwise("unknown")
     rows = rows.withColumn("entry_kind", kind)
     wrong = F.when(F.col("status") == "oversized", "oversized_line").when((F.col("status") == "ok") & v.isNull(), "invalid_json").when(F.col("entry_kind") == "invalid", "invalid_entry")
-    return rows.withColumns({"tag": tag, "id": text("$.id"), "parent_id": text("$.parentId"), "timestamp": text("$.timestamp"), "diagnostic": wrong}).drop("_json")
+    return rows.withColumn("diagnostic", wrong).drop("_json", "_kinds")
 
 
 def files(entries: DataFrame) -> DataFrame:
@@ -110,7 +146,7 @@ def blocks(entries: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
     own = entries.filter(F.col("entry_kind").isin("known", "unknown") & (F.col("tag") != "session"))
     m, role = F.col("tag") == "message", at("$.message.role")
     plain = F.when(role == "bashExecution", at("$.message.output")).when(role.isin("branchSummary", "compactionSummary"), at("$.message.summary")).otherwise(at("$.message.content"))
-    listed = is_kind(F.try_parse_json("value"), "$.message.content", "array")
+    listed = trimmed(at("$.message.content")).startswith("[") & F.try_variant_get(F.try_parse_json("value"), "$.message.content", "array<variant>").isNotNull()
     spoken = F.array(F.to_json(F.struct(F.lit("text").alias("type"), plain.alias("text"))))
     items = F.when(m, F.when(listed & role.isin("user", "custom", "assistant", "toolResult"), F.from_json(at("$.message.content"), "array<string>")).otherwise(spoken))
     rows = own.withColumn("_items", items)
