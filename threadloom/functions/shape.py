@@ -12,6 +12,8 @@ import json
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from threadloom.functions.text import bound
+
 RULE = "array<struct<object: string, key: string, kinds: array<string>, optional: boolean>>"
 Rules = list[tuple[str, str, str, bool]]
 
@@ -47,11 +49,15 @@ def lookup(table: dict[str, Rules], tag: Column) -> Column:
 
 def issues(found: Column, own: Column) -> Column:
     """array<struct<code, path>>: missing or wrong_type for each rule that doesn't hold; rules below what is no object are left out."""
-    kind = lambda r: F.try_element_at(F.try_element_at(found, r["object"]), r["key"])
-    holds = lambda r: F.coalesce(F.array_contains(r["kinds"], kind(r)), r["optional"])
-    bad = F.filter(own, lambda r: F.try_element_at(found, r["object"]).isNotNull() & ~holds(r))
-    path = lambda r: F.concat_ws(".", F.nullif(r["object"], F.lit("")), r["key"])
-    return F.transform(bad, lambda r: F.struct(F.when(kind(r).isNull(), "missing").otherwise("wrong_type").alias("code"), path(r).alias("path")))
+
+    def told(found: Column) -> Column:
+        kind = lambda r: F.try_element_at(F.try_element_at(found, r["object"]), r["key"])
+        holds = lambda r: F.coalesce(F.array_contains(r["kinds"], kind(r)), r["optional"])
+        bad = F.filter(own, lambda r: F.try_element_at(found, r["object"]).isNotNull() & ~holds(r))
+        path = lambda r: F.concat_ws(".", F.nullif(r["object"], F.lit("")), r["key"])
+        return F.transform(bad, lambda r: F.struct(F.when(kind(r).isNull(), "missing").otherwise("wrong_type").alias("code"), path(r).alias("path")))
+
+    return bound(found, told)
 
 
 def items_fit(items: Column, table: dict[str, dict[str, str]], optional: dict[str, dict[str, str]] | None = None) -> Column:
@@ -59,8 +65,10 @@ def items_fit(items: Column, table: dict[str, dict[str, str]], optional: dict[st
     of = {tag: rules({"": named}, {"": (optional or {}).get(tag, {})}) for tag, named in table.items()}
 
     def fits(x: Column) -> Column:
-        tag = F.try_variant_get(x, "$.type", "string")
-        own = lookup(of, F.when(F.try_element_at(fields(x), F.lit("type")) == "string", tag))
-        return F.coalesce(F.size(issues(kinds(x, ("",)), own)) == 0, F.lit(False))
+        def all_hold(found: Column) -> Column:
+            of_string = F.try_element_at(F.try_element_at(found, F.lit("")), F.lit("type")) == "string"
+            return F.size(issues(found, lookup(of, F.when(of_string, F.try_variant_get(x, "$.type", "string"))))) == 0
+
+        return F.coalesce(bound(kinds(x, ("",)), all_hold), F.lit(False))
 
     return F.forall(items, fits)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions import shape
-from threadloom.functions.text import trimmed
+from threadloom.functions.text import bound, trimmed
 
 # Each tag's required fields besides id, parentId and timestamp, and their kinds.
 FIELDS = {
@@ -82,23 +82,41 @@ def _rules_of_messages() -> dict[str, shape.Rules]:
 
 def _text(value: Column, path: str) -> Column:
     """The string at a path of a variant; null if it is anything else."""
-    found = F.try_variant_get(value, path, "variant")
-    return F.when(shape.kind_of(found) == "string", F.try_variant_get(found, "$", "string"))
+    return bound(F.try_variant_get(value, path, "variant"), lambda x: F.when(shape.kind_of(x) == "string", F.try_variant_get(x, "$", "string")))
 
 
 def _contents_fit(message: Column, own: Column) -> Column:
     """Whether the items of a list of contents are of known types with their fields; own: whether an assistant said it."""
-    items = F.try_variant_get(message, "$.content", "array<variant>")
-    return items.isNull() | F.when(own, shape.items_fit(items, OWN_ITEMS, OWN_OPTIONAL)).otherwise(shape.items_fit(items, ITEMS))
+    fit = lambda items: items.isNull() | F.when(own, shape.items_fit(items, OWN_ITEMS, OWN_OPTIONAL)).otherwise(shape.items_fit(items, ITEMS))
+    return bound(F.try_variant_get(message, "$.content", "array<variant>"), fit)
 
 
 def message_fits(message: Column) -> Column:
     """Whether a variant is a message of a known role, with its fields, items and usage."""
-    role = _text(message, "$.role")
-    wrong = shape.issues(shape.kinds(message, MESSAGE_OBJECTS), shape.lookup(_rules_of_messages(), role))
-    listed = role.isin("user", "custom", "toolResult", "assistant")
-    stops = (role != "assistant") | _text(message, "$.stopReason").isin(*STOPS)
-    return F.coalesce((F.size(wrong) == 0) & stops & (~listed | _contents_fit(message, role == "assistant")), F.lit(False))
+
+    def fits(role: Column) -> Column:
+        wrong = shape.issues(shape.kinds(message, MESSAGE_OBJECTS), shape.lookup(_rules_of_messages(), role))
+        listed = role.isin("user", "custom", "toolResult", "assistant")
+        stops = (role != "assistant") | _text(message, "$.stopReason").isin(*STOPS)
+        return (F.size(wrong) == 0) & stops & (~listed | _contents_fit(message, role == "assistant"))
+
+    return F.coalesce(bound(_text(message, "$.role"), fits), F.lit(False))
+
+
+def _entry(v: Column) -> Column:
+    """struct(tag, id, parent_id, timestamp, issues, entry_kind) of a line's variant."""
+
+    def told(tag: Column) -> Column:
+        known = tag.isin("session", *FIELDS)
+        own = F.when(known, shape.lookup(_rules_of_entries(), tag)).otherwise(shape.lookup({"": shape.rules({"": BASE})}, F.lit("")))
+        message, tail = F.try_variant_get(v, "$.message", "variant"), F.try_variant_get(v, "$.retainedTail", "array<variant>")
+        inner = F.when(tag == "message", bound(message, message_fits)).when(tag == "custom_message", _contents_fit(v, F.lit(False))).when(tag == "compaction", F.coalesce(F.forall(tail, message_fits), F.lit(True))).otherwise(True)
+        kind = lambda issues: F.when(tag.isNull() | (F.size(issues) > 0) | ~inner, "invalid").when(known, "known").otherwise("unknown")
+        issues = F.when(tag.isNotNull(), shape.issues(shape.kinds(v, OBJECTS), own))
+        rest = lambda issues: F.struct(tag.alias("tag"), _text(v, "$.id").alias("id"), _text(v, "$.parentId").alias("parent_id"), _text(v, "$.timestamp").alias("timestamp"), issues.alias("issues"), kind(issues).alias("entry_kind"))
+        return bound(issues, rest)
+
+    return F.when(v.isNotNull(), bound(_text(v, "$.type"), told))
 
 
 def parsed(lines: DataFrame) -> DataFrame:
@@ -110,21 +128,9 @@ def parsed(lines: DataFrame) -> DataFrame:
     path of the entry's own fields. diagnostic: invalid_json, invalid_entry, oversized_line or
     null; blank lines have none. A JSON object with a key twice is not JSON here.
     """
-    v = F.col("_json")
-    rows = lines.withColumn("_json", F.when(F.col("status") == "ok", F.try_parse_json("value")))
-    rows = rows.withColumns({"tag": _text(v, "$.type"), "id": _text(v, "$.id"), "parent_id": _text(v, "$.parentId"), "timestamp": _text(v, "$.timestamp"), "_kinds": shape.kinds(v, OBJECTS)})
-    tag = F.col("tag")
-    known = tag.isin("session", *FIELDS)
-    own = F.when(known, shape.lookup(_rules_of_entries(), tag)).otherwise(shape.lookup({"": shape.rules({"": BASE})}, F.lit("")))
-    rows = rows.withColumn("issues", F.when(tag.isNotNull(), shape.issues(F.col("_kinds"), own)))
-    message = F.when(tag == "message", F.try_variant_get(v, "$.message", "variant"))
-    tail = F.when(tag == "compaction", F.try_variant_get(v, "$.retainedTail", "array<variant>"))
-    inner = F.when(tag == "message", message_fits(message)).when(tag == "custom_message", _contents_fit(v, F.lit(False))).when(tail.isNotNull(), F.forall(tail, message_fits)).otherwise(True)
-    fits = F.coalesce((F.size("issues") == 0) & inner, F.lit(False))
-    kind = F.when(v.isNull(), None).when(tag.isNull() | ~fits, "invalid").when(known, "known").otherwise("unknown")
-    rows = rows.withColumn("entry_kind", kind)
-    wrong = F.when(F.col("status") == "oversized", "oversized_line").when((F.col("status") == "ok") & v.isNull(), "invalid_json").when(F.col("entry_kind") == "invalid", "invalid_entry")
-    return rows.withColumn("diagnostic", wrong).drop("_json", "_kinds")
+    rows = lines.withColumn("_e", bound(F.when(F.col("status") == "ok", F.try_parse_json("value")), _entry))
+    wrong = F.when(F.col("status") == "oversized", "oversized_line").when((F.col("status") == "ok") & F.col("_e").isNull(), "invalid_json").when(F.col("_e.entry_kind") == "invalid", "invalid_entry")
+    return rows.select(*lines.columns, "_e.*", wrong.alias("diagnostic"))
 
 
 def files(entries: DataFrame) -> DataFrame:
@@ -143,14 +149,14 @@ def blocks(entries: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
     also: more columns of the entries.
     """
     at = lambda path: F.get_json_object("value", path)
-    own = entries.filter(F.col("entry_kind").isin("known", "unknown") & (F.col("tag") != "session"))
+    joins = F.col("entry_kind").isin("known", "unknown") & (F.col("tag") != "session")  # no filter: moved below the parsing, it would parse again
     m, role = F.col("tag") == "message", at("$.message.role")
     plain = F.when(role == "bashExecution", at("$.message.output")).when(role.isin("branchSummary", "compactionSummary"), at("$.message.summary")).otherwise(at("$.message.content"))
     listed = trimmed(at("$.message.content")).startswith("[") & F.try_variant_get(F.try_parse_json("value"), "$.message.content", "array<variant>").isNotNull()
     spoken = F.array(F.to_json(F.struct(F.lit("text").alias("type"), plain.alias("text"))))
     items = F.when(m, F.when(listed & role.isin("user", "custom", "assistant", "toolResult"), F.from_json(at("$.message.content"), "array<string>")).otherwise(spoken))
-    rows = own.withColumn("_items", items)
-    split = F.when(F.size("_items") > 1, F.transform("_items", lambda x: F.array(x))).otherwise(F.array("_items"))
+    rows = entries.withColumn("_items", items)
+    split = F.when(joins, F.when(F.size("_items") > 1, F.transform("_items", lambda x: F.array(x))).otherwise(F.array("_items")))
     each = rows.select("*", F.posexplode(split).alias("place", "_own"))
     payload = F.when(F.col("entry_kind") == "unknown", trimmed(F.col("value"))).when(F.col("tag") == "custom", at("$.data"))
     v = F.try_parse_json("value")
