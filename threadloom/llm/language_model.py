@@ -41,8 +41,8 @@ LEAST_CONTEXTS, BLOCK_TOKENS = 1024, 2_000_000
 #: Discounts and strengths of the unigram and the context restaurants.
 D0, S0, D1, S1 = 0.8, 1.0, 0.8, 1.0
 SWEEPS, AVERAGED = 4, 2
-#: Customers of a pair that a sweep seats again, drawn at random; pairs have fewer but for very few.
-RESEATED = 256
+#: A pair's customers are seated one by one up to so many; those of a larger one go in blocks, of this part of those there.
+ONE_BY_ONE, BLOCKS = 256, 64
 #: Bytes of text whose words a partition gets, about.
 PART_BYTES = 16_000_000
 #: What the rows of a partition are besides requests of blocks (0 and up): its counts, and from -2 down its seatings.
@@ -165,6 +165,33 @@ class Part:
         return out
 
 
+class Rates:
+    """What a new table's weight depends on: tables by context in all partitions, and this one's tables by word. Kept up to date within a sweep."""
+
+    def __init__(self, total: np.ndarray, of_word: np.ndarray):
+        self.total, self.of_word, self.whole = total.astype(float), of_word.astype(float), float(total.sum())
+
+    def change(self, context: np.ndarray, word: np.ndarray, by: np.ndarray) -> None:
+        np.add.at(self.total, context, by)
+        np.add.at(self.of_word, word, by)
+        self.whole += float(by.sum())
+
+    def new(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        return (S1 + D1 * self.total[context]) * (self.of_word[word] - D0) / (S0 + self.whole)
+
+
+def beside(rng: np.random.Generator, pair: np.ndarray, there: np.ndarray, base: np.ndarray, ends: np.ndarray, sizes: np.ndarray, lowest: int = 0, leaves: np.ndarray | None = None) -> Iterator[np.ndarray]:
+    """The tables that customers of pairs join, taken in proportion to their sizes less the discount: each draws another customer until one's table takes it."""
+    while len(pair):
+        drawn = (rng.random(len(pair)) * there[pair]).astype(np.int64)
+        at = np.searchsorted(ends, base[pair] + drawn, "right") + lowest
+        taken = rng.random(len(pair)) * sizes[at] < sizes[at] - D1
+        if leaves is not None:
+            taken &= drawn != leaves[pair]
+        yield at[taken]
+        pair = pair[~taken]
+
+
 class Seating:
     """How the customers of a partition's pairs of several sit: the sizes of their tables.
 
@@ -177,20 +204,12 @@ class Seating:
 
     @classmethod
     def first(cls, p: Part, total: np.ndarray, rng: np.random.Generator) -> Seating:
-        """Customers come in one by one; of a pair's customers over ``RESEATED`` the rest sits down in the same proportions."""
+        """All customers come in: ``ONE_BY_ONE``, then in blocks."""
         at = p.several
         words, word = np.unique(p.word[at], return_inverse=True)
         singles = np.bincount(p.word[p.counts == 1], minlength=len(p.words))[words]
-        count = p.counts[at]
-        come = np.minimum(count, RESEATED)
-        s = cls(p.part, word, p.context[at], come, singles, np.ones(len(at), np.int64), np.ones(len(at), np.int64))
+        s = cls(p.part, word, p.context[at], p.counts[at], singles, np.ones(len(at), np.int64), np.ones(len(at), np.int64))
         s.sweep(total, rng, first=True)
-        own = np.repeat(np.arange(len(at)), s.tables)
-        s.sizes = s.sizes * count[own] // come[own]
-        starts = np.cumsum(s.tables) - s.tables
-        if len(at):
-            s.sizes[starts] += count - np.add.reduceat(s.sizes, starts)
-        s.count = count
         return s
 
     @classmethod
@@ -203,54 +222,100 @@ class Seating:
         return self.part, SEATING - sweep, small(self.word), small(self.singles), small(self.context), small(self.count), small(self.tables), small(self.sizes)
 
     def sweep(self, total: np.ndarray, rng: np.random.Generator, first: bool = False) -> None:
-        """Each customer (of a pair ``RESEATED`` at most, drawn at random) leaves and sits down again, given all others.
+        """Every customer leaves and sits down again, given all others.
 
-        ``total``: tables by context in all partitions; those of this one are kept up to date.
-        Pairs go side by side, a customer of each at a time. first: customers only come in.
+        ``total``: tables by context in all partitions. Pairs go side by side, a customer of
+        each at a time; of pairs of over ``ONE_BY_ONE`` customers a block of each at a time,
+        ``BLOCKS`` blocks in all. first: customers only come in.
         """
-        count, t = self.count, self.tables
-        room = t + np.minimum(count, RESEATED)  # a table's place is not used again in a sweep
+        rates = Rates(total, self.singles + np.bincount(self.word, self.tables, len(self.singles)))
+        crowded = int(np.searchsorted(self.count, ONE_BY_ONE, "right"))
+        few = len(self.count) if first else crowded
+        cut = int(self.tables[:few].sum())
+        t, sizes = self._one_by_one(few, self.sizes[:cut], rates, rng, first)
+        self.tables, self.sizes = np.concatenate((t, self.tables[few:])), np.concatenate((sizes, self.sizes[cut:]))
+        if crowded < len(self.count):
+            cut = int(self.tables[:crowded].sum())
+            t, sizes = self._in_blocks(crowded, self.sizes[cut:], rates, rng, first)
+            self.tables, self.sizes = np.concatenate((self.tables[:crowded], t)), np.concatenate((self.sizes[:cut], sizes))
+
+    def _one_by_one(self, few: int, seated: np.ndarray, rates: Rates, rng: np.random.Generator, first: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The first pairs' tables and their sizes after a sweep."""
+        count, t, context, word = np.minimum(self.count[:few], ONE_BY_ONE), self.tables[:few], self.context[:few], self.word[:few]
+        room = t + count  # a table's place is not used again in a sweep
         start = np.cumsum(room) - room
         sizes = np.zeros(int(room.sum()), np.int64)
-        sizes[np.repeat(start - (np.cumsum(t) - t), t) + np.arange(int(t.sum()))] = self.sizes
-        t, top, total, whole = t.copy(), t.copy(), total.astype(float), float(total.sum())
-        of_word = (self.singles + np.bincount(self.word, t, len(self.singles))).astype(float)
-
-        def change(a: int, by: np.ndarray) -> float:
-            t[a:] += by
-            np.add.at(total, self.context[a:], by)
-            np.add.at(of_word, self.word[a:], by)
-            return float(by.sum())
-
-        for step in range(int(first), min(RESEATED, int(count[-1]) if len(count) else 0)):
+        sizes[np.repeat(start - (np.cumsum(t) - t), t) + np.arange(int(t.sum()))] = seated
+        t, top = t.copy(), t.copy()
+        for step in range(int(first), int(count[-1]) if few else 0):
             a = int(np.searchsorted(count, step, "right"))
-            n = len(count) - a
-            if not n:
-                break
+            n = few - a
             lo, there = start[a], np.full(n, step) if first else count[a:]
             ends = np.cumsum(sizes[lo:])
             base = np.concatenate(([0], ends))[start[a:] - lo]
             leaves = np.full(n, -1)
             if not first:
                 leaves = (rng.random(n) * there).astype(np.int64)
-                table_ = np.searchsorted(ends, base + leaves, "right") + lo
-                sizes[table_] -= 1
-                whole += change(a, -(sizes[table_] == 0).astype(np.int64))
-            others = there - (not first)
-            new = (S1 + D1 * total[self.context[a:]]) * (of_word[self.word[a:]] - D0) / (S0 + whole)
-            opens = rng.random(n) * (new + others - D1 * t[a:]) < new
-            join = np.flatnonzero(~opens)
-            while len(join):  # beside another customer, whose table is taken in proportion to its size less the discount
-                beside = (rng.random(len(join)) * there[join]).astype(np.int64)
-                table_ = np.searchsorted(ends, base[join] + beside, "right") + lo
-                taken = (beside != leaves[join]) & (rng.random(len(join)) * sizes[table_] < sizes[table_] - D1)
-                sizes[table_[taken]] += 1
-                join = join[~taken]
+                left = np.searchsorted(ends, base + leaves, "right") + lo
+                sizes[left] -= 1
+                gone = (sizes[left] == 0).astype(np.int64)
+                t[a:] -= gone
+                rates.change(context[a:], word[a:], -gone)
+            new = rates.new(context[a:], word[a:])
+            opens = rng.random(n) * (new + there - (not first) - D1 * t[a:]) < new
+            for joined in beside(rng, np.flatnonzero(~opens), there, base, ends, sizes, lo, leaves):
+                sizes[joined] += 1
             at = np.flatnonzero(opens) + a
             sizes[start[at] + top[at]] = 1
             top[at] += 1
-            whole += change(a, opens.astype(np.int64))
-        self.tables, self.sizes = t, sizes[sizes > 0]
+            t[a:] += opens
+            rates.change(context[a:], word[a:], opens.astype(np.int64))
+        return t, sizes[sizes > 0]
+
+    def _in_blocks(self, crowded: int, sizes: np.ndarray, rates: Rates, rng: np.random.Generator, first: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The crowded pairs' tables and their sizes after a sweep.
+
+        A block's customers sit down given those outside the block, so each sees all but a
+        ``1 / BLOCKS`` of the others; a sweep deals the customers to the blocks at random.
+        """
+        count, t, context, word = self.count[crowded:], self.tables[crowded:].copy(), self.context[crowded:], self.word[crowded:]
+        n, owner = len(count), np.repeat(np.arange(len(count)), t)
+        there = np.full(n, ONE_BY_ONE) if first else count.copy()
+        place = np.arange(len(sizes))  # of the tables of the start
+        customers = np.array([], np.int64) if first else np.repeat(place, sizes)
+        block = rng.integers(0, BLOCKS, len(customers))
+        customers, edges = customers[np.argsort(block, kind="stable")], np.concatenate(([0], np.cumsum(np.bincount(block, minlength=BLOCKS))))
+        step = 0
+        while (there < count).any() if first else step < BLOCKS:
+            if first:
+                many = np.minimum(np.maximum(there // BLOCKS, 1), count - there)
+            else:
+                left = place[customers[edges[step] : edges[step + 1]]]
+                many = np.bincount(owner[left], minlength=n)
+                sat = sizes > 0
+                sizes = sizes - np.bincount(left, minlength=len(sizes))
+                gone = np.bincount(owner[sat & (sizes == 0)], minlength=n)
+                t -= gone
+                there = count - many
+                rates.change(context, word, -gone)
+            new = rates.new(context, word)
+            pair = np.repeat(np.arange(n), many)
+            opens = rng.random(len(pair)) * (new + there - D1 * t)[pair] < new[pair]
+            ends = np.cumsum(sizes)
+            base = np.concatenate(([0], ends))[np.searchsorted(owner, np.arange(n))]
+            joined = list(beside(rng, pair[~opens], there, base, ends, sizes))
+            sizes = sizes + np.bincount(np.concatenate([*joined, np.array([], np.int64)]), minlength=len(sizes))
+            opened = np.bincount(pair[opens], minlength=n)
+            after = np.searchsorted(owner, np.arange(n), "right")  # a pair's new tables come behind its others
+            place = place + (np.cumsum(opened) - opened)[owner[place]]
+            sizes = np.insert(sizes, np.repeat(after, opened), 1)
+            owner = np.insert(owner, np.repeat(after, opened), np.repeat(np.arange(n), opened))
+            t += opened
+            rates.change(context, word, opened)
+            if first:
+                there = there + many
+            step += 1
+        return t, sizes[sizes > 0]
 
 
 def blocks(df: DataFrame, parts: int, contexts: int) -> DataFrame:
