@@ -76,3 +76,38 @@ def test_stage_takes_near_copies_that_simhash_leaves(spark):
     df, want = frame(spark, rows), least_of_each(rows)
     assert one_of_each(df).count() > len(want)
     assert sorted(str(r["doc_id"]) for r in corpus_pipeline.simhash_near_dedup(spark, df, "").collect()) == want
+
+
+def test_the_cut_loses_three_pairs_in_a_hundred_million_at_most():
+    """Exactly, for pairs of random sets just at the similarity: the chance that a bit differs, and that over RADIUS of 64 do."""
+    from math import comb
+
+    from threadloom.llm.near_copies import LEAST_CUT, PART, RADIUS, WHOLE
+
+    def lost(both, x, y):
+        of = lambda n: [comb(n, k) / 2**n for k in range(n + 1)]
+        bit = 0.0
+        for shared, p in enumerate(of(both)):
+            a, b = (sum(q for k, q in enumerate(of(n)) if 2 * (shared + k) > both + n) for n in (x, y))
+            bit += p * (a * (1 - b) + b * (1 - a))
+        return sum(comb(64, k) * bit**k * (1 - bit) ** (64 - k) for k in range(RADIUS + 1, 65))
+
+    worst = 0.0
+    for small in (*range(LEAST_CUT, 60), 100, 200):
+        for big in range(small, small * WHOLE // PART + 1):
+            both = -(-(small + big) * PART // (WHOLE + PART))  # the fewest shared ones at the similarity
+            if both <= small:
+                worst = max(worst, lost(both, small - both, big - both))
+    assert worst < 3e-8
+
+
+def test_pairs_with_a_small_set_are_all_kept():
+    import numpy as np
+
+    from threadloom.llm.near_copies import LEAST_CUT, undiscarded
+    from threadloom.llm.simhash import pivot_distances
+
+    sim = np.array([0, -1, 0, -1], np.int64)  # 64 bits apart
+    size = np.array([5, LEAST_CUT - 1, LEAST_CUT, LEAST_CUT])
+    a, b = undiscarded(sim, pivot_distances(sim), size, np.array([0, 1, 2, 2]), np.array([1, 2, 3, 2]))
+    assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == [(0, 1), (1, 2), (2, 2)]

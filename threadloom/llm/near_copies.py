@@ -37,12 +37,20 @@ from threadloom.llm.substrings import packed, unpacked
 WIDTH = 5
 #: Similarity at least 4 / 5, in integers.
 PART, WHOLE = 4, 5
-#: Bits that fingerprints of two sets at 0.8 differ in at most: 9.7 are expected, and over 28 come once in a hundred million.
-RADIUS = 28
+#: Bits that fingerprints of two sets at 0.8 differ in at most, if both have so many shingles: over that come
+#: 2.6 in a hundred million pairs at most, whatever their sizes. Pairs with a smaller set aren't cut.
+RADIUS, LEAST_CUT = 28, 20
 #: Shingles after which a block of documents is closed.
 BLOCK_SHINGLES = 1_000_000
 
 
+def undiscarded(sim: np.ndarray, distances: list[np.ndarray], size: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of positions (a, b) that fingerprints don't discard: pairs with a small set are all kept."""
+    cut = np.minimum(size[a], size[b]) >= LEAST_CUT
+    x, y = near_by_pivots(sim, distances, a[cut], b[cut], RADIUS)
+    return np.concatenate((a[~cut], x)), np.concatenate((b[~cut], y))
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -208,7 +216,7 @@ def _first(small: int):
         pairs.append((start[where[others]], others))
         a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
         may = _may(size, place, a, b)
-        a, b = near_by_pivots(sim, pivot_distances(sim), a[may], b[may], RADIUS)
+        a, b = undiscarded(sim, pivot_distances(sim), size, a[may], b[may])
         a, b = np.unique(np.stack([fp[a], fp[b]]), axis=1) if len(a) else (fp[:0], fp[:0])
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.nulls(len(a), pa.int64())], ["a", "b", "crowded"])
         crowded = np.unique(k[many])
@@ -237,7 +245,7 @@ def _more(pivots: int):
             for p in turn:
                 other = at[where != where[p]]
                 other = other[_may(size, place, np.full(len(other), at[p]), other)]
-                a, b = near_by_pivots(sim, distances, np.full(len(other), at[p]), other, RADIUS)
+                a, b = undiscarded(sim, distances, size, np.full(len(other), at[p]), other)
                 if not len(b):
                     continue
                 if used == pivots:
