@@ -172,8 +172,9 @@ class Rates:
         self.total, self.of_word, self.whole = total.astype(float), of_word.astype(float), float(total.sum())
 
     def change(self, context: np.ndarray, word: np.ndarray, by: np.ndarray) -> None:
-        np.add.at(self.total, context, by)
-        np.add.at(self.of_word, word, by)
+        some = np.flatnonzero(by)
+        np.add.at(self.total, context[some], by[some])
+        np.add.at(self.of_word, word[some], by[some])
         self.whole += float(by.sum())
 
     def new(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
