@@ -214,3 +214,21 @@ def tool_summary(name: Column, arguments: Column) -> Column:
     mcp = "^mcp__(.*?)__(.*)$"
     out = out.when(name.rlike(mcp), call(F.concat(F.lit("mcp:"), F.regexp_extract(name, mcp, 1), F.lit("."), F.regexp_extract(name, mcp, 2)), generic))
     return out.otherwise(call(name, generic))
+
+
+def public_json(json: Column, placeholder: str = "[REDACTED:RAW_TRANSCRIPT_VALUE]") -> Column:
+    """A JSON text whose string values, at any depth, are the placeholder; keys, numbers, booleans and nulls stay. Null if it isn't JSON.
+
+    Between the quotes that are not escaped, every second piece is a string, and one that a
+    colon follows is a key. Two control characters, which JSON text never holds, stand for the
+    escapes meanwhile.
+    """
+    plain = F.replace(F.replace(json, F.lit("\\\\"), F.lit("\x01")), F.lit('\\"'), F.lit("\x02"))
+
+    def joined(pieces: Column) -> Column:
+        key = lambda i: F.coalesce(F.try_element_at(pieces, i + 2).rlike(r"^\s*:"), F.lit(False))
+        kept = F.transform(pieces, lambda x, i: F.when((i % 2 == 1) & ~key(i), F.lit(placeholder)).otherwise(x))
+        return F.array_join(kept, '"')
+
+    back = F.replace(F.replace(bound(F.split(plain, '"', -1), joined), F.lit("\x02"), F.lit('\\"')), F.lit("\x01"), F.lit("\\\\"))
+    return F.when(F.try_parse_json(json).isNotNull(), back)

@@ -145,3 +145,14 @@ def warnings(entries: DataFrame) -> DataFrame:
             asked = kept.filter((F.col("type") == kind) & F.col(ref).isNotNull()).select("session_id", F.lit(name).alias("code"), F.col("id").alias("entry_id"), F.col(ref).alias("related_id"))
             out = out.unionAll(asked.join(known, (F.col("session_id") == F.col("_s")) & (F.col("related_id") == F.col("_k")), "left_anti"))
     return out
+
+
+def dangling(calls: DataFrame, results: DataFrame) -> DataFrame:
+    """The results (session_id, ord, call_id, ...) whose call (session_id, ord, call_id) comes later or never.
+
+    Of a call that comes again the first counts, so a call is one row whatever its repeats; a
+    null id dangles.
+    """
+    first = calls.groupBy("session_id", "call_id").agg(F.min("ord").alias("_called"))
+    told = results.join(first, ["session_id", "call_id"], "left")
+    return told.filter(F.col("_called").isNull() | (F.col("_called") >= F.col("ord"))).select(*results.columns)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions import decisions, rules, text
-from threadloom.operators import changes, entries, history, render, tree, updates
+from threadloom.operators import changes, entries, history, kinds, render, tree, updates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -528,3 +528,60 @@ SELECT CAST(conv_id AS VARCHAR) AS id, count(*) FILTER (text IS NOT NULL AND tur
   CASE WHEN bool_or(text IS NULL OR turn % 7 = 3) THEN 'invalid_entry' END AS error FROM conversations GROUP BY conv_id""")
 def q47_entry_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries.listing(as_entries(spark, sf_dir), "/a").select("id", "message_count", "first_message", "error")
+
+
+@query("""
+WITH a AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, event_id FROM events),
+b AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id DESC) AS n, event_id FROM events WHERE event_type <> 'signup'),
+j AS (SELECT user_id, n, a.event_id AS x, b.event_id AS y FROM a FULL JOIN b USING (user_id, n)),
+d AS (SELECT user_id, min(n) FILTER (x IS DISTINCT FROM y) AS cut FROM j GROUP BY user_id),
+c AS (SELECT user_id, 'delete' AS op, n, event_id FROM a JOIN d USING (user_id) WHERE n >= cut UNION ALL SELECT user_id, 'upsert', n, event_id FROM b JOIN d USING (user_id) WHERE n >= cut),
+p AS (SELECT *, unnest(range(0, 1 + event_id % 3)) AS part FROM c)
+SELECT user_id AS session_id, op, CAST(event_id AS VARCHAR) AS key, event_id || ':' || part AS id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY op, n, part) AS INTEGER) AS change_ord FROM p""")
+def q48_splice_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's events as a branch, of one to three blocks each, that is rewritten without signups."""
+    events = read(spark, sf_dir, "events")
+    numbered = lambda df, *order: df.select(F.col("user_id").alias("session_id"), (F.row_number().over(Window.partitionBy("user_id").orderBy(*order)) - 1).alias("place"), F.col("event_id").cast("string").alias("key"))
+    part = F.explode(F.sequence(F.lit(0).cast("long"), F.col("event_id") % 3)).alias("part")
+    blocks = events.select(F.col("user_id").alias("session_id"), F.col("event_id").cast("string").alias("key"), part).withColumn("id", F.concat_ws(":", "key", "part"))
+    found = changes.block_changes(numbered(events, "ts", "event_id"), numbered(events.filter("event_type <> 'signup'"), "ts", F.desc("event_id")), blocks)
+    return found.select("session_id", "op", "key", "id", "change_ord")
+
+
+@query("""
+SELECT event_id, CASE event_type WHEN 'signup' THEN 'turn_ended' WHEN 'view' THEN 'loop_started' WHEN 'click' THEN 'tool_started' WHEN 'purchase' THEN 'unheard_of' END AS tag,
+  CASE WHEN event_type = 'purchase' THEN 'unknown' WHEN event_type = 'error' THEN NULL WHEN (event_type = 'signup' AND event_id % 3 = 0) OR (event_type = 'view' AND event_id % 5 = 0) OR (event_type = 'click' AND event_id % 4 = 0) THEN 'invalid' ELSE 'known' END AS record_kind,
+  CASE WHEN event_type = 'error' THEN 'invalid_json' WHEN (event_type = 'signup' AND event_id % 3 = 0) OR (event_type = 'view' AND event_id % 5 = 0) OR (event_type = 'click' AND event_id % 4 = 0) THEN 'invalid_record' END AS diagnostic,
+  CASE WHEN event_type = 'signup' AND event_id % 3 = 0 THEN 'wrong_value outcome' WHEN event_type = 'view' AND event_id % 5 = 0 THEN 'wrong_type loop_index' WHEN event_type = 'click' AND event_id % 4 = 0 THEN 'missing tool_name' ELSE '' END AS issues
+FROM events""")
+def q49_event_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as dialect B's, of known and unknown kinds, some with a field that is missing or wrong, and torn lines."""
+    kind, n = F.col("event_type"), F.col("event_id")
+    only = lambda k, c: F.when(kind == k, c)
+    tag = F.when(kind == "signup", "turn_ended").when(kind == "view", "loop_started").when(kind == "click", "tool_started").otherwise("unheard_of")
+    value = F.to_json(F.struct(tag.alias("type"), F.lit("t").alias("ts"), only("signup", F.when(n % 3 == 0, "odd").otherwise("completed")).alias("outcome"), only("view", n % 5 - 1 + (n % 5 != 0).cast("int")).alias("loop_index"), F.when((kind == "click") & (n % 4 != 0), "rg").alias("tool_name")))
+    lines = read(spark, sf_dir, "events").select("event_id", F.lit("ok").alias("status"), F.when(kind == "error", "{torn").otherwise(value).alias("value"))
+    told = kinds.events(lines)
+    return told.select("event_id", "tag", "record_kind", "diagnostic", F.coalesce(F.array_join(F.transform("issues", lambda x: F.concat_ws(" ", x["code"], x["path"])), "; "), F.lit("")).alias("issues"))
+
+
+@query("""
+SELECT conv_id, turn, '{"role":"[REDACTED:RAW_TRANSCRIPT_VALUE]","turn":' || turn || CASE WHEN text IS NULL THEN '' ELSE ',"text":"[REDACTED:RAW_TRANSCRIPT_VALUE]"' END || ',"said":[{"a \\"b\\"":"[REDACTED:RAW_TRANSCRIPT_VALUE]","n":1.5},true,null]}' AS payload
+FROM conversations WHERE role IS NOT NULL""")
+def q50_public_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as JSON whose string values, also below, are out of sight."""
+    turns = read(spark, sf_dir, "conversations").filter("role is not null")
+    own = F.to_json(F.struct("role", "turn", "text"))
+    below = F.concat(F.lit(',"said":[{"a \\"b\\"":'), F.substring(F.to_json(F.struct(F.coalesce(F.col("text"), F.lit("")).alias("x"))), 6, 2**31 - 1), F.lit(",true,null]}"))
+    whole = F.concat(F.substring(own, F.lit(1), F.length(own) - 1), F.regexp_replace(below, r"\},true,null\]\}$", ',"n":1.5},true,null]}'))
+    return turns.select("conv_id", "turn", text.public_json(whole).alias("payload"))
+
+
+@query("""
+WITH c AS (SELECT user_id, value AS call, min(event_id) AS called FROM events WHERE event_type = 'click' GROUP BY ALL)
+SELECT e.event_id, e.user_id FROM events e LEFT JOIN c ON c.user_id = e.user_id AND c.call = e.value WHERE e.event_type <> 'click' AND (c.called IS NULL OR c.called >= e.event_id)""")
+def q51_dangling_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events that are no clicks, as results of clicks of the same value: those whose click comes later or never."""
+    events = read(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("ord"), F.col("value").alias("call_id"), "event_type")
+    found = tree.dangling(events.filter("event_type = 'click'"), events.filter("event_type <> 'click'"))
+    return found.select(F.col("ord").alias("event_id"), F.col("session_id").alias("user_id"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from threadloom.functions.text import record_id, trimmed
+from threadloom.functions.text import public_json, record_id, trimmed
 
 #: Longest line kept, in bytes.
 LINE_BYTES = 16 * 1024 * 1024
@@ -89,6 +89,20 @@ def raw_records(df: DataFrame) -> DataFrame:
     return out.orderBy(F.coalesce("timestamp", F.lit("")), "id")
 
 
+# Fixed value: what stands for a line in public.
+PUBLIC_LINE = "[REDACTED:RAW_TRANSCRIPT_LINE]"
+
+
+def public_records(records: DataFrame, unsafe: bool = False) -> DataFrame:
+    """The records of raw_records (or of a tail) with payload, the line's JSON, fit to be shown: no line, and no string value in the payload.
+
+    unsafe: line and payload as they are.
+    """
+    if unsafe:
+        return records.withColumn("payload", F.col("raw_line"))
+    return records.withColumns({"payload": public_json(F.col("raw_line")), "raw_line": F.lit(PUBLIC_LINE)})
+
+
 def sessions(df: DataFrame, after: str | None = None, before: str | None = None, limit: int = 0) -> DataFrame:
     """Discovery over (path, content): session, start time (the first within 4,096 characters), has_subagents; newest first."""
     own = df.withColumn("_src", source_of(F.col("path")))
