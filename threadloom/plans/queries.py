@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from threadloom.functions import decisions, rules, text
+from threadloom.functions import decisions, rules, text, transcripts
 from threadloom.operators import changes, entries, history, kinds, render, tree, updates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -585,3 +585,24 @@ def q51_dangling_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = read(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("ord"), F.col("value").alias("call_id"), "event_type")
     found = tree.dangling(events.filter("event_type = 'click'"), events.filter("event_type <> 'click'"))
     return found.select(F.col("ord").alias("event_id"), F.col("session_id").alias("user_id"))
+
+
+@query(r"""
+WITH l AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'TODO: ' WHEN turn % 2 = 0 THEN 'We decided to use ' ELSE 'Failed to ' END || substring(translate(coalesce(text, ''), chr(10), ' '), 1, 180 + (conv_id + turn) % 40) || CASE WHEN turn % 3 = 0 THEN ' "file_path":"/f/' || conv_id % 7 || '"' ELSE '' END AS line FROM conversations),
+t AS (SELECT conv_id, string_agg(line, chr(10) ORDER BY turn, line) AS t FROM l GROUP BY conv_id),
+f AS (SELECT conv_id, t, list_concat(list_slice(regexp_extract_all(t, '(?i).{0,50}decided to use.{0,100}'), 1, 3), list_slice(regexp_extract_all(t, '(?i).{0,50}chose to implement.{0,100}'), 1, 3), list_slice(regexp_extract_all(t, '(?i).{0,50}will use.*instead of.{0,100}'), 1, 3), list_slice(regexp_extract_all(t, '(?i).{0,50}opted for.{0,100}'), 1, 3), list_slice(regexp_extract_all(t, '(?i).{0,50}selected.*approach.{0,100}'), 1, 3)) AS d,
+  list_concat(regexp_extract_all(t, '(?i)TODO:?\s*(.+)', 1), regexp_extract_all(t, '(?i)FIXME:?\s*(.+)', 1), regexp_extract_all(t, '(?i)need to\s+(.+)', 1), regexp_extract_all(t, '(?i)should\s+(.+)', 1), regexp_extract_all(t, '(?i)will\s+(.+)', 1)) AS p,
+  list_concat(regexp_extract_all(t, '(?i)Error:?\s*(.+)', 1), regexp_extract_all(t, '(?i)Failed to\s+(.+)', 1), regexp_extract_all(t, '(?i)Cannot\s+(.+)', 1), regexp_extract_all(t, '(?i)TypeError:?\s*(.+)', 1)) AS e,
+  regexp_extract_all(t, '"file_path":"([^"]+)"', 1) AS x FROM t)
+SELECT conv_id AS session_id, array_to_string(list_slice(d, 1, 10), '|') AS decisions, array_to_string(list_slice(list_filter(list_transform(p, lambda s: trim(s)), lambda s: s <> '' AND length(s) < 200), 1, 15), '|') AS tasks,
+  array_to_string(list_slice(list_filter(list_transform(e, lambda s: trim(s)), lambda s: s <> '' AND length(s) < 300), 1, 10), '|') AS errors, coalesce(x[1], '') AS files FROM f""")
+def q52_before_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as transcripts whose turns are tasks, decisions or failures."""
+    turns = read(spark, sf_dir, "conversations")
+    start = F.when(F.col("role") == "user", "TODO: ").when(F.col("turn") % 2 == 0, "We decided to use ").otherwise("Failed to ")
+    own = F.substring(F.translate(F.coalesce("text", F.lit("")), "\n", " "), F.lit(1), (180 + (F.col("conv_id") + F.col("turn")) % 40).cast("int"))
+    file = F.when(F.col("turn") % 3 == 0, F.concat(F.lit(' "file_path":"/f/'), (F.col("conv_id") % 7).cast("string"), F.lit('"'))).otherwise("")
+    lines = turns.select(F.col("conv_id").alias("session_id"), F.struct("turn", F.concat(start, own, file).alias("line")).alias("x"))
+    whole = lines.groupBy("session_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n").alias("t"))
+    found = whole.select("session_id", transcripts.before_compaction(F.col("t")).alias("b"))
+    return found.select("session_id", *(F.array_join(f"b.{c}", "|").alias(c) for c in ("decisions", "tasks", "errors", "files")))
