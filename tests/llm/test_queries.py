@@ -59,3 +59,24 @@ def test_pipeline(spark):
     before, after = kept["packing"]
     assert Counter(after[after.start == 0].doc_id) == Counter(before.doc_id)
     assert (after.groupby("sequence_id").length.sum() <= 4096).all() and np.issubdtype(after.ids_crc32.dtype, np.integer)
+
+
+def test_run_on_awkward_rows_and_on_none(spark, tmp_path):
+    """run() with null ids, texts and sources, repeated rows and empty texts: whole pieces in whole sequences; an empty table gives none."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    odd = [(None, "no id at all, but words", "en", None, 23), (None, None, None, None, None), (10**6, None, "en", "src0", None), (10**6 + 1, "", "en", "src0", 0), (10**6 + 2, " \t\n", None, "src1", 3), (10**6 + 3, "said once and again", "en", "src1", 19), (10**6 + 3, "said once and again", "en", "src1", 19)]
+    docs.unionByName(docs.limit(5)).unionByName(spark.createDataFrame(odd, docs.schema)).write.parquet(f"{tmp_path}/some/documents.parquet")
+    docs.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    for name in ("some", "none"):
+        spark.read.parquet(f"{SMALL}/labels.parquet").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    pieces = corpus_pipeline.run(spark, f"{tmp_path}/some").toPandas()
+    ids = {r[0] for r in docs.select("doc_id").collect()} | {r[0] for r in odd}
+    assert len(pieces) > 20 and {None if i != i else int(i) for i in pieces.doc_id} <= ids
+    for _, own in pieces.groupby("sequence_id"):
+        own = own.sort_values("offset")
+        assert (own.offset == own.length.cumsum() - own.length).all() and own.length.sum() <= 4096
+    for (_, whole), own in pieces[pieces.doc_id.notna()].groupby(["doc_id", "doc_tokens"]):
+        assert own.length.sum() % whole == 0 and (own.start + own.length <= whole).all()  # a document may be there up to three times
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").isEmpty()
