@@ -64,7 +64,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", packing),
 ]
 
-#: SQL can't express these stages; tests hold run() against a brute-force version.
+#: SQL can't express these stages; tests hold each against what its operator must do to its own input, and run() on awkward rows.
 ORACLE_SQL = None
 
 
