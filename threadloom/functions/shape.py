@@ -17,26 +17,31 @@ from threadloom.functions.text import bound
 RULE = "array<struct<object: string, key: string, kinds: array<string>, values: array<string>, optional: boolean>>"
 Rules = list[tuple[str, str, str, bool]]
 #: The kinds that a rule's kind allows besides itself.
-ALSO = {"number": ["unsigned"], "array": ["strings", "none"], "strings": ["none"]}
+ALSO = {
+    "number": ["unsigned", "zero", "positive"], "unsigned": ["zero"], "positive": ["unsigned"], "nonnegative": ["unsigned", "zero", "positive"],
+    "string": ["empty"], "some": ["string"], "array": ["strings", "none"], "strings": ["none"],
+}
 
 
 def kind_of(value: Column) -> Column:
-    """What a variant is: string, number (unsigned: a whole one, not negative), boolean, object, array (strings: of such alone; none: of nothing, or nulls) or null."""
+    """What a variant is: string, number (zero; unsigned: a whole one over zero; positive: another), boolean, object, array (strings: of such alone; none: of nothing, or nulls) or null."""
 
     def told(schema: Column) -> Column:
         word = F.regexp_extract(schema, "^[A-Z]+", 0)
-        whole = (word == "BIGINT") & (F.try_variant_get(value, "$", "long") >= 0)
+        size = F.try_variant_get(value, "$", "double")
+        number = F.when(size == 0, "zero").when((size > 0) & (word == "BIGINT"), "unsigned").when(size > 0, "positive").otherwise("number")
         listed = F.when(schema == "ARRAY<STRING>", "strings").when(schema == "ARRAY<VOID>", "none")
-        return F.when(whole, "unsigned").when(word.isin("BIGINT", "DOUBLE", "FLOAT", "DECIMAL"), "number").when(word == "VOID", "null").otherwise(F.coalesce(listed, F.lower(word)))
+        return F.when(word.isin("BIGINT", "DOUBLE", "FLOAT", "DECIMAL"), number).when(word == "VOID", "null").otherwise(F.coalesce(listed, F.lower(word)))
 
     return bound(F.schema_of_variant(value), told)
 
 
 def fields(value: Column, path: str = "") -> Column:
-    """An object's fields by name, each a struct of its kind and, of a string, its first characters; null if there is no object."""
+    """An object's fields by name, each a struct of its kind (of a string without characters: empty) and, of a string, its first characters; null if there is no object."""
     found = F.try_variant_get(value, f"$.{path}" if path else "$", "map<string,variant>")
     text = lambda x: F.substring(F.try_variant_get(x, "$", "string"), 1, 64)
-    return F.transform_values(found, lambda _, x: bound(kind_of(x), lambda kind: F.struct(kind.alias("kind"), F.when(kind == "string", text(x)).alias("text"))))
+    told = lambda kind, said: F.struct(F.when(said == "", "empty").otherwise(kind).alias("kind"), said.alias("text"))
+    return F.transform_values(found, lambda _, x: bound(kind_of(x), lambda kind: bound(F.when(kind == "string", text(x)), lambda said: told(kind, said))))
 
 
 def kinds(value: Column, objects: tuple[str, ...]) -> Column:

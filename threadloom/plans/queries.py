@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions import decisions, rules, text, transcripts
-from threadloom.operators import changes, entries, history, kinds, render, tree, updates
+from threadloom.operators import changes, entries, envelopes, history, kinds, render, tree, updates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -606,3 +606,23 @@ def q52_before_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = lines.groupBy("session_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n").alias("t"))
     found = whole.select("session_id", transcripts.before_compaction(F.col("t")).alias("b"))
     return found.select("session_id", *(F.array_join(f"b.{c}", "|").alias(c) for c in ("decisions", "tasks", "errors", "files")))
+
+
+@query("""
+SELECT event_id, CASE event_type WHEN 'signup' THEN 'SessionStart' WHEN 'view' THEN 'PreToolUse' WHEN 'click' THEN 'Other' END AS event,
+  CASE WHEN event_type = 'signup' AND event_id % 3 = 0 THEN 'HOOK_VALIDATION_FAILED' WHEN event_type = 'view' AND event_id % 4 = 0 THEN 'HOOK_VALIDATION_FAILED' WHEN event_type = 'click' THEN 'UNSUPPORTED_HOOK_EVENT' WHEN event_type = 'purchase' THEN 'MISSING_HOOK_EVENT_NAME' WHEN event_type = 'error' THEN 'INVALID_INPUT_TYPE' END AS code,
+  CASE WHEN event_type = 'signup' AND event_id % 3 = 0 THEN 'wrong_value source' WHEN event_type = 'view' AND event_id % 4 = 0 THEN 'wrong_type tool_name' ELSE '' END AS issues,
+  CASE WHEN event_type = 'view' AND event_id % 4 <> 0 THEN CASE WHEN event_id % 5 = 0 THEN 'TOOL_VALIDATION_FAILED' END ELSE 'UNSUPPORTED_TOOL' END AS tool_code
+FROM events""")
+def q53_hook_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as hook envelopes and their tool inputs, with codes and issues."""
+    kind, n = F.col("event_type"), F.col("event_id")
+    only = lambda k, c: F.when(kind == k, c)
+    named = F.when(kind == "signup", "SessionStart").when(kind == "view", "PreToolUse").when(kind == "click", "Other")
+    base = [F.lit(x).alias(x) for x in ("session_id", "transcript_path", "cwd")]
+    given = only("view", F.struct(F.when(n % 5 == 0, F.lit("")).otherwise("ls").alias("command")))
+    value = F.to_json(F.struct(*base, named.alias("hook_event_name"), only("signup", F.when(n % 3 == 0, "odd").otherwise("resume")).alias("source"), only("view", F.when(n % 4 == 0, "").otherwise("Bash")).alias("tool_name"), given.alias("tool_input"), only("view", F.lit("u")).alias("tool_use_id")))
+    rows = read(spark, sf_dir, "events").select("event_id", F.when(kind == "error", "[1]").otherwise(value).alias("value"))
+    told = envelopes.hook_envelopes(rows).withColumnsRenamed({"code": "hook_code", "issues": "hook_issues"})
+    told = envelopes.tool_inputs(told)
+    return told.select("event_id", "event", F.col("hook_code").alias("code"), F.coalesce(F.array_join(F.transform("hook_issues", lambda x: F.concat_ws(" ", x["code"], x["path"])), "; "), F.lit("")).alias("issues"), F.col("code").alias("tool_code"))
