@@ -89,6 +89,27 @@ def test_shares_beyond_64_bits(spark):
     assert [r.p for r in got] == [1 + 10**9 * (c + 1) // max(n + v, 1) for c, n, v in cases]
 
 
+def test_texts_are_searched_once(spark):
+    from threadloom.llm.divergence import counted
+
+    texts = [".one two..", "one", "", None, "[]\x00", "Two\x00one@ÉTÉ"]
+    df = spark.createDataFrame([(t, "en", "a") for t in texts], "text string, lang string, source string")
+    got = counted(df)
+    assert rows_of(got) == Counter({("en", "a", "one", 3, 3): 1, ("en", "a", "two", 2, 2): 1, ("en", "a", "ÉtÉ", 1, 1): 1})
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"split\(|regexp_extract_all\(", plan)) == 1
+
+
+def test_shares_where_64_bits_end(spark):
+    from pyspark.sql import functions as F
+
+    from threadloom.llm.divergence import PLAIN, share
+
+    cases = [(c, n, v) for c in (PLAIN - 1, PLAIN, PLAIN + 1) for n, v in ((PLAIN + 1, 7), (10**17, 3))]
+    got = spark.createDataFrame(cases, "c long, n long, v long").select(share(F.col("c"), F.col("n"), F.col("v")).alias("p")).collect()
+    assert [r.p for r in got] == [1 + 10**9 * (c + 1) // (n + v) for c, n, v in cases]
+
+
 # ---- 12
 
 

@@ -1,8 +1,8 @@
 """Operator 11, source divergence audit: which sources of a language use its words unlike the others.
 
-Plain relational. Matches of the term pattern are exploded and counted by (lang, source,
-term), together with the documents that hold them; a window over (lang, term) keeps the
-terms of enough documents. Every group is crossed, within its language, with the kept
+Plain relational. Texts are split at what is no letter, and the terms are exploded and
+counted by (lang, source, term), together with the documents that hold them; a window over
+(term, lang) keeps the terms of enough documents. Every group is crossed, within its language, with the kept
 vocabulary, so that zeros count; the dense table joins itself on language and term, and
 the divergences of two groups are summed. Windows rank.
 
@@ -20,11 +20,13 @@ from pyspark.sql import functions as F
 
 from threadloom.llm.common import stored, table
 
-#: A run of letters: anything but ASCII characters that are no letters.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: What stands between terms: a run of ASCII characters that are no letters. A term is a run of any others.
+BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Shares are whole numbers of this part.
 SCALE = 1_000_000_000
+#: Counts below this one keep SCALE * (count + 1) within 64 bits.
+PLAIN = 9_000_000_000
 #: Parts of a group whose terms are ranked side by side first.
 SALTS = 64
 
@@ -36,9 +38,10 @@ def ascii_lower(text: Column) -> Column:
 
 def share(count: Column, whole: Column, terms: Column) -> Column:
     """1 + floor(SCALE * (count + 1) / (whole + terms)), exact for any counts; 1 where there are no terms."""
-    scaled = F.lit(SCALE).cast("decimal(10,0)") * (count + 1).cast("decimal(20,0)")
-    of = F.greatest(whole + terms, F.lit(1)).cast("decimal(20,0)")
-    return F.call_function("div", scaled, of) + 1
+    of = F.greatest(whole + terms, F.lit(1))
+    plain = F.call_function("div", F.lit(SCALE).cast("long") * (count + 1), of)
+    wide = F.call_function("div", F.lit(SCALE).cast("decimal(10,0)") * (count + 1).cast("decimal(20,0)"), of.cast("decimal(20,0)"))
+    return F.when(count < PLAIN, plain).otherwise(wide) + 1
 
 
 def surprise(p: Column, q: Column) -> Column:
@@ -49,10 +52,11 @@ def surprise(p: Column, q: Column) -> Column:
 def counted(df: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """(lang, source, term, count, docs): occurrences, and rows that hold the term."""
     empty = F.lit("")
-    found = df.select(F.coalesce(lang_col, empty).alias("lang"), F.coalesce(source_col, empty).alias("source"), F.regexp_extract_all(ascii_lower(F.coalesce(text_col, empty)), F.lit(TERM), F.lit(0)).alias("_terms"))
-    # each occurrence, and behind them each distinct term once more
-    each = found.select("lang", "source", F.size("_terms").alias("_n"), F.posexplode(F.concat("_terms", F.array_distinct("_terms"))).alias("_at", "term"))
-    return each.groupBy("lang", "source", "term").agg(F.count_if(F.col("_at") < F.col("_n")).alias("count"), F.count_if(F.col("_at") >= F.col("_n")).alias("docs"))
+    found = df.select(F.coalesce(lang_col, empty).alias("lang"), F.coalesce(source_col, empty).alias("source"), F.split(ascii_lower(F.coalesce(text_col, empty)), BETWEEN).alias("_terms"))
+    # each occurrence, and behind them each distinct term once more; no array is empty, and without
+    # "outer" Spark would add a filter on the array's size that splits each text a second time
+    each = found.select("lang", "source", F.size("_terms").alias("_n"), F.posexplode_outer(F.concat("_terms", F.array_distinct("_terms"))).alias("_at", "term"))
+    return each.filter("term <> ''").groupBy("lang", "source", "term").agg(F.count_if(F.col("_at") < F.col("_n")).alias("count"), F.count_if(F.col("_at") >= F.col("_n")).alias("docs"))
 
 
 def divergence(df: DataFrame, least_docs: int = 3, top: int = 200, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -64,7 +68,8 @@ def divergence(df: DataFrame, least_docs: int = 3, top: int = 200, text_col: str
     item's bytes. A text of any length is searched whole. Other columns are ignored, whatever
     their names; an empty table gives no rows.
     """
-    of_term = Window.partitionBy("lang", "term")
+    # by the term first: sorts go by a key's first bytes, which a language's rows share
+    of_term = Window.partitionBy("term", "lang")
     terms = counted(df, text_col, lang_col, source_col)
     kept = terms.withColumns({"_docs": F.sum("docs").over(of_term), "_lang_count": F.sum("count").over(of_term), "_first": F.row_number().over(of_term.orderBy("source")) == 1})
     kept = stored(kept.filter(F.col("_docs") >= least_docs).select("lang", "source", "term", "count", "_lang_count", "_first"), "kept-terms")
@@ -72,26 +77,27 @@ def divergence(df: DataFrame, least_docs: int = 3, top: int = 200, text_col: str
     sums = kept.groupBy("lang", "source").agg(F.sum("count").alias("_group"), F.count_if("_first").alias("_v"))
     groups = df.select(F.coalesce(lang_col, F.lit("")).alias("lang"), F.coalesce(source_col, F.lit("")).alias("source")).distinct().join(sums, ["lang", "source"], "left").na.fill(0)
     of_lang = Window.partitionBy("lang")
-    # a row for each source of a language
-    groups = stored(groups.select("lang", "source", F.row_number().over(of_lang.orderBy("source")).alias("_k"), "_group", F.sum("_group").over(of_lang).alias("_whole"), F.sum("_v").over(of_lang).alias("_terms")), "groups")
-
-    one = kept.filter("_first").select("lang", "term").join(groups.select("lang", "_k"), "lang").select("lang", "term", "_k", F.lit(0).cast("long").alias("count"))
-    seen = kept.join(groups.select("lang", "source", "_k"), ["lang", "source"]).select("lang", "term", "_k", "count")
-    dense = one.unionByName(seen).repartition("lang", "term").groupBy("lang", "term", "_k").agg(F.sum("count").alias("count"))
-    dense = dense.join(groups.select("lang", "_k", "_group", "_terms"), ["lang", "_k"]).select("lang", "term", "_k", share(F.col("count"), F.col("_group"), F.col("_terms")).alias("_p"))
-    other = dense.select("lang", "term", F.col("_k").alias("_o"), F.col("_p").alias("_q"))
-    apart = dense.join(other, ["lang", "term"]).filter("_k != _o").groupBy("lang", "_k", "_o").agg(F.sum(surprise(F.col("_p"), F.col("_q"))).alias("value"))
-    named = groups.select("lang", "source", "_k")
-    pairs = named.join(named.select("lang", F.col("source").alias("item"), F.col("_k").alias("_o")), "lang").filter("_k != _o").join(apart, ["lang", "_k", "_o"], "left")
+    groups = groups.select("lang", "source", "_group", F.sum("_group").over(of_lang).alias("_whole"), F.sum("_v").over(of_lang).alias("_terms"))
+    # a row and a number for each source of a language; as it is stored, the number stays
+    groups = stored(groups.withColumn("_g", F.monotonically_increasing_id()), "groups")
+
+    one = kept.filter("_first").select("lang", "term").join(groups.select("lang", "_g"), "lang").select("lang", "term", "_g", F.lit(0).cast("long").alias("count"))
+    seen = kept.join(groups.select("lang", "source", "_g"), ["lang", "source"]).select("lang", "term", "_g", "count")
+    dense = one.unionByName(seen).repartition("term", "lang").groupBy("term", "lang", "_g").agg(F.sum("count").alias("count"))
+    dense = dense.join(groups.select("_g", "_group", "_terms"), "_g").select("term", "lang", "_g", share(F.col("count"), F.col("_group"), F.col("_terms")).alias("_p"))
+    other = dense.select("term", "lang", F.col("_g").alias("_o"), F.col("_p").alias("_q"))
+    apart = dense.join(other, ["term", "lang"]).filter("_g != _o").groupBy("_g", "_o").agg(F.sum(surprise(F.col("_p"), F.col("_q"))).alias("value"))
+    named = groups.select("lang", "source", "_g")
+    pairs = named.join(named.select("lang", F.col("source").alias("item"), F.col("_g").alias("_o")), "lang").filter("_g != _o").join(apart, ["_g", "_o"], "left")
     pairs = pairs.select("lang", "source", F.lit("pair").alias("part"), "item", F.coalesce("value", F.lit(0)).cast("long").alias("value"))
 
-    own = kept.join(groups, ["lang", "source"]).select("lang", "source", "term", share(F.col("count"), F.col("_group"), F.col("_terms")).alias("_p"), share(F.col("_lang_count"), F.col("_whole"), F.col("_terms")).alias("_q")).filter("_p > _q")
-    own = own.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), surprise(F.col("_p"), F.col("_q")).alias("value"))
     order = [F.desc("value"), F.asc("item")]
-    salted = own.withColumn("_salt", F.pmod(F.xxhash64("item"), F.lit(SALTS))).withColumn("_rank", F.row_number().over(Window.partitionBy("lang", "source", "_salt").orderBy(*order)))
-    of_group = Window.partitionBy("lang", "source").orderBy(*order)
-    best = salted.filter(F.col("_rank") <= top).drop("_salt", "_rank").withColumn("rank", F.row_number().over(of_group)).filter(F.col("rank") <= top)
-    return pairs.withColumn("rank", F.row_number().over(of_group)).unionByName(best)
+    own = kept.join(groups, ["lang", "source"]).select("_g", F.col("term").alias("item"), share(F.col("count"), F.col("_group"), F.col("_terms")).alias("_p"), share(F.col("_lang_count"), F.col("_whole"), F.col("_terms")).alias("_q")).filter("_p > _q")
+    own = own.select("_g", "item", surprise(F.col("_p"), F.col("_q")).alias("value"))
+    salted = own.withColumn("_salt", F.pmod(F.xxhash64("item"), F.lit(SALTS))).withColumn("_rank", F.row_number().over(Window.partitionBy("_g", "_salt").orderBy(*order)))
+    best = salted.filter(F.col("_rank") <= top).withColumn("rank", F.row_number().over(Window.partitionBy("_g").orderBy(*order))).filter(F.col("rank") <= top)
+    best = best.join(named, "_g").select("lang", "source", F.lit("term").alias("part"), "item", "value", "rank")
+    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "source").orderBy(*order))).unionByName(best)
 
 
 def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
