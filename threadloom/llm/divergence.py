@@ -95,9 +95,10 @@ def divergence(df: DataFrame, least_docs: int = 3, top: int = 200, text_col: str
     own = kept.join(groups, ["lang", "source"]).select("_g", F.col("term").alias("item"), share(F.col("count"), F.col("_group"), F.col("_terms")).alias("_p"), share(F.col("_lang_count"), F.col("_whole"), F.col("_terms")).alias("_q")).filter("_p > _q")
     own = own.select("_g", "item", surprise(F.col("_p"), F.col("_q")).alias("value"))
     salted = own.withColumn("_salt", F.pmod(F.xxhash64("item"), F.lit(SALTS))).withColumn("_rank", F.row_number().over(Window.partitionBy("_g", "_salt").orderBy(*order)))
-    best = salted.filter(F.col("_rank") <= top).withColumn("rank", F.row_number().over(Window.partitionBy("_g").orderBy(*order))).filter(F.col("rank") <= top)
-    best = best.join(named, "_g").select("lang", "source", F.lit("term").alias("part"), "item", "value", "rank")
-    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "source").orderBy(*order))).unionByName(best)
+    best = salted.filter(F.col("_rank") <= top).join(named, "_g").select("lang", "source", F.lit("term").alias("part"), "item", "value")
+    of_group = Window.partitionBy("lang", "source").orderBy(*order)
+    best = best.withColumn("rank", F.row_number().over(of_group)).filter(F.col("rank") <= top)
+    return pairs.withColumn("rank", F.row_number().over(of_group)).unionByName(best)
 
 
 def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
